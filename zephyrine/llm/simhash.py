@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -219,3 +219,17 @@ def near_duplicates(
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each component.
+
+    It is the row whose id names the component. Where several rows have that id, the least by text
+    stays; rows without an id that no other row's id names count as one component.
+    """
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **how)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    rows = docs.join(stay, F.col(f"`{doc_id}`").eqNullSafe(F.col("__stay")))
+    order = Window.partitionBy("__stay").orderBy(F.col(f"`{text}`"))
+    rows = rows.withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
