@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrine.llm import bpe, fingerprints, mixing, quality, rules, simhash, tokencount
+from zephyrine.llm import bpe, brown, fingerprints, mixing, quality, rules, simhash, tokencount
 from zephyrine.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_simhash": op4_simhash,
         "op5_source_mixing": op5_source_mixing,
+        "op6_class_lm": op6_class_lm,
         "op8_quality_rules": op8_quality_rules,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_token_counts": op10_token_counts,
