@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrine.llm import bpe, brown, fingerprints, mixing, quality, rules, simhash, tokencount
+from zephyrine.llm import bpe, brown, fingerprints, htmltext, mixing, quality, rules, simhash, tokencount, warc
 from zephyrine.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_next(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -39,6 +43,11 @@ def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return found.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -56,10 +65,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op2_html_text": op2_html_text,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_simhash": op4_simhash,
         "op5_source_mixing": op5_source_mixing,
         "op6_class_lm": op6_class_lm,
+        "op7_warc_derivatives": op7_warc_derivatives,
         "op8_quality_rules": op8_quality_rules,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_token_counts": op10_token_counts,
