@@ -179,9 +179,12 @@ def links(
     """
     common.ship(prints.sparkSession)
     every = variants(prints, bits, segments, take)
-    shared = every.groupBy("tag", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = common.cut(shared)
-    few, many = shared.where(F.col("n") <= crowd).select("tag", "key"), shared.where(F.col("n") > crowd)
+    # of two that share a variant, the least and the greatest are the pair
+    met = every.groupBy("tag", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"))
+    met = common.cut(met.where((F.col("n") > 2) | (F.col("n") == 2) & (_distance(F.col("u"), F.col("v")) <= bits)))
+    twos = met.where("n = 2").select("u", "v")
+    few = met.where((F.col("n") > 2) & (F.col("n") <= crowd)).select("tag", "key")
+    many = met.where(F.col("n") > crowd).select("tag", "key", "n")
     own = common.cut(every.join(few, ["tag", "key"]).select("tag", "key", "fp"))
     a, b = own.alias("a"), own.alias("b")
     pairs = a.join(
@@ -191,7 +194,7 @@ def links(
         & (F.col("a.fp") < F.col("b.fp"))
         & (_distance(F.col("a.fp"), F.col("b.fp")) <= bits),
     ).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    return pairs.unionByName(_crowded(every.join(many, ["tag", "key"]), bits, block))
+    return twos.unionByName(pairs).unionByName(_crowded(every.join(many, ["tag", "key"]), bits, block))
 
 
 def near_duplicates(
