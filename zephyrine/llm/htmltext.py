@@ -34,6 +34,8 @@ BLOCK = frozenset(
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
     "search section select summary table tbody td template tfoot th thead title tr ul".split()
 )
+#: Elements without a meaning of their own, told apart by their order in the parent, up to a number.
+BOXES, ORDER = frozenset("div section table td".split()), 50
 #: Elements whose content is characters, not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that end an open element of one of the given names, where that end tag may be left out.
@@ -123,6 +125,7 @@ class Page:
         self.texts: list[tuple[str | None, bool, bool, str]] = []
         # open elements: name, path, state, in a link, inside an article
         stack: list[tuple[str, str, int, bool, bool]] = [("", "", PLAIN, False, False)]
+        order: list[dict[str, int]] = [{}]  # of each open element: boxes so far by sign
         add = self.texts.append
         at = 0
         lower = None
@@ -149,7 +152,7 @@ class Page:
                 if k:
                     if any(x[0] in BLOCK for x in stack[k:]):
                         add((None, False, False, ""))
-                    del stack[k:]
+                    del stack[k:], order[k:]
                 continue
             t = tag(name, m[3])
             name = t.name
@@ -168,9 +171,14 @@ class Page:
                         break
                     k -= 1
                 if k:
-                    del stack[k:]
+                    del stack[k:], order[k:]
             _, path, state, link, inside = stack[-1]
             path = f"{path}/{t.sign}"
+            if name in BOXES:
+                before = order[-1].get(t.sign, 0)
+                order[-1][t.sign] = before + 1
+                if before:
+                    path = f"{path}~{min(before + 1, ORDER)}"
             if len(path) > 600:
                 path = f"~{xxhash.xxh64_hexdigest(path)}"
             if state != STRONG:
@@ -194,6 +202,7 @@ class Page:
                 if name in ("title", "textarea") and end > at:
                     add((path, state != PLAIN, link, html.unescape(source[at:end])))
                 at = end
+            order.append({})
             stack.append((name, path, state, link or name == "a", inside or t.content == 3))
         if at < len(source):
             _, path, state, link, _ = stack[-1]

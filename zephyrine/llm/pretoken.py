@@ -132,6 +132,8 @@ def boundaries(codes: np.ndarray, breaks: np.ndarray) -> np.ndarray:
 
 def split(texts: list[str]) -> list[list[str]]:
     """The tokens of each text, in order; an empty text has none. Joined they give the text again."""
+    if not texts:
+        return []
     joined = "\x00".join(texts) + "\x00"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1

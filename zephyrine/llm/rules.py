@@ -168,7 +168,7 @@ def calibrate(score: np.ndarray, good: np.ndarray, lose: float) -> float:
     if not good.any():
         return math.inf
     kept = np.sort(score[good])
-    allowed = kept[min(len(kept) - 1, math.ceil(len(kept) * (1 - lose)))]
+    allowed = kept[len(kept) - 1 - math.floor(len(kept) * lose)]
     bad = np.sort(score[~good])
     above = bad[bad > allowed]
     return float((allowed + above[0]) / 2) if len(above) else float(max(allowed, bad.max(initial=allowed)))
