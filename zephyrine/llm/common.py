@@ -1,8 +1,7 @@
-"""Shared plumbing: Arrow batches with bounded text, lineage cuts, package shipping."""
+"""Shared plumbing: Arrow batches with bounded text, lineage cuts."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -11,23 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zephyrine.session import ship
+
 #: Characters of text that are held in Python objects at once (one longer text stands alone).
 CHARS_AT_ONCE = 1 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
-
-    Workers start with the environment kept on the context, so an entry in ``PYTHONPATH``
-    is enough wherever the package lies at the same path on every machine.
-    """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that later steps
     neither repeat its work nor depend on executors that may be lost."""
