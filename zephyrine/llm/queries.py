@@ -77,5 +77,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: The article of a page whose markup is the tables': one article, paragraphs, headings and bold text.
+HTML_TEXT = r"""SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1),
+      '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g'),
+    '&quot;?', '"', 'g'), '&#x27;?', '''', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'),
+    '\s+', ' ', 'g')) AS text FROM pages)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express an operator; models, BPE, XXH64 and components have tests instead."""
+    return {"op2_html_text": HTML_TEXT}
