@@ -7,6 +7,7 @@ delta. Nothing here collects rows; joins are on the primary key.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -76,13 +77,14 @@ def upsert(
     rows: DataFrame,
     key: Sequence[str],
     order: str | None = None,
-    update: dict[str, Callable[[Row, Row], Column]] | None = None,
-    where: Callable[[Row, Row], Column] | None = None,
+    update: dict[str, Callable[[Row, Row], Column] | str] | None = None,
+    where: Callable[[Row, Row], Column] | str | None = None,
     defaults: dict[str, Column] | None = None,
 ) -> Change:
     """INSERT … ON CONFLICT DO NOTHING (no ``update``) or DO UPDATE SET … [WHERE …].
 
-    ``update`` maps columns to functions of the current and the proposed (excluded) row. Rows with one key
+    ``update`` maps columns to functions of the current and the proposed (excluded) row, or all to SQL text
+    over ``now.column`` and ``excluded.column`` (then ``where`` is text too). Rows with one key
     take effect one after another by ``order`` (a column of ``rows``), each seeing what those before it left.
     Rows that change nothing are not returned. A key's proposed rows are folded together in one task.
     """
@@ -118,7 +120,16 @@ def upsert(
         out = F.struct(changed.alias("r"), F.lit(True).alias("changed"))
         return F.when(F.coalesce(where(now, new), F.lit(False)), out).otherwise(acc) if where else out
 
-    end = met.select(F.aggregate(rest, state, step).alias("__end")).where("__end.changed")
+    if update and all(isinstance(u, str) for u in update.values()):
+        met = met.select(rest.alias("__rest"), state.alias("__state"))
+        changed = ", ".join(f"'{c}', CAST({f'({update[c]})' if c in update else f'now.`{c}`'} AS {kinds[c].simpleString()})" for c in columns)
+        out = f"named_struct('r', named_struct({changed}), 'changed', true)"
+        out = f"IF(coalesce({where}, false), {out}, __acc)" if where else out
+        out = re.sub(r"\bnow\.", "__acc.r.", re.sub(r"\bexcluded\.", "__x.r.", out))
+        folded = F.expr(f"aggregate(__rest, __state, (__acc, __x) -> {out})")
+    else:
+        folded = F.aggregate(rest, state, step)
+    end = met.select(folded.alias("__end")).where("__end.changed")
     return Change(key, writes=end.select(*[F.col(f"__end.r.{c}").alias(c) for c in columns]))
 
 

@@ -151,7 +151,7 @@ def cdc_replay(t):
     return streams.replay(history(t).subscription("sub"), "n_nationkey", "n_nationkey int, n_regionkey int")
 
 
-@Q.add("topic_publish", "SELECT CAST(3 AS BIGINT) AS lsn, 'write' AS cmd, props AS data FROM events")
+@Q.add("topic_publish", "SELECT CAST(3 AS BIGINT) AS lsn, 'publish' AS cmd, props AS data FROM events")
 def topic_publish(t):
     s = store(t)
     s.create_topic("top")

@@ -26,8 +26,6 @@ from zephyrine.operators.dml import Change
 EVENTS = T.StructType([T.StructField("lsn", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("rel", T.StringType()), T.StructField("cmd", T.StringType()), T.StructField("data", T.StringType())])
 #: Deltas after which a commit compacts a table.
 DELTAS = 8
-#: Parts by which events of one LSN are numbered apart.
-KEEP_ALL = -1
 
 
 class Store:
@@ -98,7 +96,7 @@ class Store:
             raise ValueError("a table needs a primary key among its columns")
         if name in self.now["tables"] or name in self.now["topics"]:
             raise ValueError(f"{name} exists")
-        spec = {"schema": schema.jsonValue(), "key": list(key), "defaults": defaults or {}, "identity": identity, "next": 0, "base": [], "deltas": [], "indexes": {}, "of": None}
+        spec = {"schema": schema.jsonValue(), "key": list(key), "defaults": defaults or {}, "identity": identity, "next": 0, "base": [], "deltas": [], "indexes": {}, "of": None, "physical": {c: c for c in schema.fieldNames()}, "used": schema.fieldNames()}
         self._commit(lambda head, _: head["tables"].update({name: spec}))
 
     def drop_table(self, name: str) -> None:
@@ -115,7 +113,12 @@ class Store:
 
         def edit(head, _):
             t = head["tables"][name]
+            if column in t["physical"]:
+                raise ValueError(f"{column} exists")
             t["schema"]["fields"] += field
+            # a name in the files that no earlier column had
+            t["physical"][column] = column if column not in t["used"] else f"{column}__{len(t['used'])}"
+            t["used"].append(t["physical"][column])
             if default is not None:
                 t["defaults"][column] = default
 
@@ -126,8 +129,28 @@ class Store:
             raise ValueError("a key column cannot be dropped")
 
         def edit(head, _):
-            s = head["tables"][name]["schema"]
-            s["fields"] = [f for f in s["fields"] if f["name"] != column]
+            t = head["tables"][name]
+            t["schema"]["fields"] = [f for f in t["schema"]["fields"] if f["name"] != column]
+            del t["physical"][column]
+            t["defaults"].pop(column, None)
+
+        self._commit(edit)
+
+    def rename_column(self, name: str, column: str, to: str) -> None:
+        """Files keep the old name."""
+
+        def edit(head, _):
+            t = head["tables"][name]
+            if to in t["physical"]:
+                raise ValueError(f"{to} exists")
+            t["physical"][to] = t["physical"].pop(column)
+            for f in t["schema"]["fields"]:
+                f["name"] = to if f["name"] == column else f["name"]
+            t["key"] = [to if k == column else k for k in t["key"]]
+            if column in t["defaults"]:
+                t["defaults"][to] = t["defaults"].pop(column)
+            for i in t["indexes"].values():
+                i["columns"] = [to if c == column else c for c in i["columns"]]
 
         self._commit(edit)
 
@@ -164,6 +187,14 @@ class Store:
 
         self._commit(edit)
 
+    def drop_topic(self, name: str) -> None:
+        if any(s["rel"] == name for s in self.now["subscriptions"].values()):
+            raise ValueError(f"{name} has subscriptions")
+        self._commit(lambda head, _: head["topics"].remove(name))
+
+    def drop_index(self, name: str, index: str) -> None:
+        self._commit(lambda head, _: head["tables"][name]["indexes"].pop(index))
+
     def drop_subscription(self, name: str) -> None:
         self._commit(lambda head, _: head["subscriptions"].pop(name))
 
@@ -172,17 +203,26 @@ class Store:
     def schema(self, name: str) -> T.StructType:
         return T.StructType.fromJson(self.now["tables"][name]["schema"])
 
+    @staticmethod
+    def _stored(spec: dict) -> tuple[T.StructType, list[Column]]:
+        """The schema by the names in files, and columns that give the table's own names."""
+        schema, physical = T.StructType.fromJson(spec["schema"]), spec["physical"]
+        stored = T.StructType([T.StructField(physical[f.name], f.dataType) for f in schema.fields])
+        return stored, [F.col(f"`{physical[f.name]}`").alias(f.name) for f in schema.fields]
+
     def _frames(self, spec: dict) -> DataFrame:
-        schema = T.StructType.fromJson(spec["schema"])
+        stored, named = self._stored(spec)
         key = spec["key"]
-        base = self.spark.read.schema(schema).parquet(*spec["base"]) if spec["base"] else self.spark.createDataFrame([], schema)
+        base = self.spark.read.schema(stored).parquet(*spec["base"]) if spec["base"] else self.spark.createDataFrame([], stored)
+        base = base.select(*named)
         if not spec["deltas"]:
             return base
-        marked = T.StructType([*schema.fields, T.StructField("__lsn", T.LongType()), T.StructField("__gone", T.BooleanType())])
-        deltas = self.spark.read.schema(marked).parquet(*spec["deltas"])
+        marked = T.StructType([*stored.fields, T.StructField("__lsn", T.LongType()), T.StructField("__gone", T.BooleanType())])
+        deltas = self.spark.read.schema(marked).parquet(*spec["deltas"]).select(*named, "__lsn", "__gone")
         latest = Window.partitionBy(*key).orderBy(F.desc("__lsn"))
         last = deltas.withColumn("__rank", F.row_number().over(latest)).where("__rank = 1")
-        return base.join(last.select(*key), key, "left_anti").select(*schema.fieldNames()).unionByName(last.where("NOT __gone").select(*schema.fieldNames()))
+        columns = base.columns
+        return base.join(last.select(*key), key, "left_anti").select(*columns).unionByName(last.where("NOT __gone").select(*columns))
 
     def table(self, name: str) -> DataFrame:
         """The rows of the current version."""
@@ -203,8 +243,9 @@ class Store:
         both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         step = (self._staged or self.head)["tables"][name]
         order = len(step["deltas"]) + (self.now["version"] << 20)
-        both.withColumn("__lsn", F.lit(order).cast("long")).write.parquet(folder)
-        written = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("__gone", T.BooleanType())])).parquet(folder)
+        stored, named = self._stored(step)
+        both.withColumnsRenamed(step["physical"]).withColumn("__lsn", F.lit(order).cast("long")).write.parquet(folder)
+        written = self.spark.read.schema(T.StructType([*stored.fields, T.StructField("__gone", T.BooleanType())])).parquet(folder).select(*named, "__gone")
 
         def edit(head, lsn):
             head["tables"][name]["deltas"].append(folder)
@@ -219,7 +260,7 @@ class Store:
     def compact(self, name: str) -> None:
         """Fold deltas into a new base."""
         folder = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
-        self.table(name).write.parquet(folder)
+        self.table(name).withColumnsRenamed(self.now["tables"][name]["physical"]).write.parquet(folder)
         self._commit(lambda head, _: head["tables"][name].update({"base": [folder], "deltas": []}))
 
     def identities(self, name: str, rows: DataFrame) -> DataFrame:
@@ -253,7 +294,7 @@ class Store:
 
         def edit(head, lsn):
             if any(s["rel"] == topic for s in head["subscriptions"].values()):
-                events = values.select(F.lit(lsn).cast("long").alias("lsn"), F.xxhash64(column).alias("seq"), F.lit(topic).alias("rel"), F.lit("write").alias("cmd"), F.col(column).alias("data"))
+                events = values.select(F.lit(lsn).cast("long").alias("lsn"), F.xxhash64(column).alias("seq"), F.lit(topic).alias("rel"), F.lit("publish").alias("cmd"), F.col(column).alias("data"))
                 events.write.mode("append").parquet(f"{self.root}/log/{topic}/lsn={lsn:012d}")
 
         return self._commit(edit)
