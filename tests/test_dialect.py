@@ -36,6 +36,16 @@ def values(df):
         ("select id from test where data in (2, 3) order by id", [(2,), (4,)]),
         ("select t.id + 1 as x from test as t where t.id = 4", [(5,)]),
         ("with a as (select data, count(*) as n from test group by data) select max(n) as x from a", [(2,)]),
+        ("select count(*) as x from test where data = any (select id from test where id > 1)", [(2,)]),
+        ("select count(*) as x from test where id <> all (select data from test)", [(1,)]),
+        ("select 3 > any (select id from test) as a, 0 > any (select id from test) as b, 9 > all (select id from test) as c, 1 = all (select id from test) as d", [(True, False, True, False)]),
+        ("select 3 < all (select nullif(id, 2) from test where id > 1) as a, 5 > all (select nullif(id, 2) from test) as b, 1 < any (select id from test where id > 9) as c", [(False, None, False)]),
+        ("select 2 = any ([1, 2]) as a, 5 <> all ([1, 2]) as b, 0 > any ([1, 2]) as c", [(True, True, False)]),
+        ("select sum(it) as x from ([1, 2, 3, 1, 2]) it where it > 1", [(7,)]),
+        ("select distinct it from ([1, 2, 1]) as it order by it", [(1,), (2,)]),
+        ("select exists (select 1 from test where id = 3) as x", [(True,)]),
+        ("select (select max(id) from test t where t.data = o.data) as x from test as o where o.id = 1", [(3,)]),
+        ("select a.id, b.id as other from test a join test b on a.data = b.id where a.id <> b.id", [(3, 1), (4, 3)]),
     ],
 )
 def test_statements(engine, text, want):

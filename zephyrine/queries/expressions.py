@@ -185,9 +185,8 @@ def cast_matrix(t):
 
 @Q.add("type_names", "SELECT 'int' AS a, 'double' AS b, 'string' AS c, 'timestamp' AS d, 'null' AS e, 'decimal' AS f, 'date' AS g, 'json' AS h")
 def type_names(t):
-    one = t.events.limit(1)
     made = [c("user_id"), c("value"), c("event_type"), c("ts"), F.lit(None).cast("int"), F.lit(1.5).cast("decimal(5,2)"), c("ts").cast("date"), F.parse_json("props")]
-    return one.select(*[casts.type_of(x).alias(k) for x, k in zip(made, "abcdefgh")])
+    return t.events.select(*[casts.type_of(x).alias(k) for x, k in zip(made, "abcdefgh")]).distinct()
 
 
 @Q.add("date_bin", "SELECT event_id, time_bucket(INTERVAL 15 MINUTES, ts, TIMESTAMP '2001-01-01') AS q, time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '2001-01-01') AS w FROM events")
