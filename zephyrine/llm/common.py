@@ -10,12 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zephyrine.session import ship
+from zephyrine import session
 
 #: Characters of text that are held in Python objects at once (one longer text stands alone).
 CHARS_AT_ONCE = 1 << 20
 
 
+#: Bytes of a batch that goes to Python, where the session does not say; rows differ much in length.
+BATCH_BYTES = 8 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import the package, and bound the batches they get by bytes besides rows."""
+    session.ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that later steps
     neither repeat its work nor depend on executors that may be lost."""
