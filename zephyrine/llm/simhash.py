@@ -231,8 +231,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **h
     stays; rows without an id that no other row's id names count as one component.
     """
     found = near_duplicates(docs, doc_id=doc_id, text=text, **how)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    rows = docs.join(stay, F.col(f"`{doc_id}`").eqNullSafe(F.col("__stay")))
-    order = Window.partitionBy("__stay").orderBy(F.col(f"`{text}`"))
+    # a key that is never null, so that join and ranking share one shuffle of the texts
+    key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id")).alias("__stay")).distinct()
+    rows = docs.withColumn("__key", key(F.col(f"`{doc_id}`"))).join(stay, F.col("__key") == F.col("__stay"))
+    order = Window.partitionBy("__key").orderBy(F.col(f"`{text}`"))
     rows = rows.withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
