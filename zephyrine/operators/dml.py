@@ -39,9 +39,10 @@ class Change:
         return out
 
 
-def complete(rows: DataFrame, like: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
-    """``rows`` with the columns and types of ``like``: what is left out gets its default or NULL."""
-    extra = set(rows.columns) - set(like.columns)
+def complete(rows: DataFrame, like: DataFrame, defaults: dict[str, Column] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with the columns and types of ``like`` and those to keep: what is left out gets its default
+    or NULL."""
+    extra = set(rows.columns) - set(like.columns) - set(keep)
     if extra:
         raise ValueError(f"unknown columns: {sorted(extra)}")
     defaults = defaults or {}
@@ -49,7 +50,8 @@ def complete(rows: DataFrame, like: DataFrame, defaults: dict[str, Column] | Non
         *[
             (F.col(f.name) if f.name in rows.columns else defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
             for f in like.schema.fields
-        ]
+        ],
+        *keep,
     )
 
 
@@ -90,17 +92,11 @@ def upsert(
     """
     key = list(key)
     kinds = {f.name: f.dataType for f in table.schema.fields}
-    proposed = complete(rows.drop(order) if order and order not in table.columns else rows, table, defaults) if not order else None
-    if order:
-        own = [c for c in rows.columns if c != order or c in table.columns]
-        whole = complete(rows.select(*own), table, defaults).columns
-        defaults = defaults or {}
-        proposed = rows.select(
-            *[(F.col(c) if c in rows.columns else defaults.get(c, F.lit(None))).cast(kinds[c]).alias(c) for c in whole],
-            F.col(order).alias("__order"),
-        )
-    else:
-        proposed = proposed.withColumn("__order", F.lit(0))
+    at = F.col(order) if order else F.lit(0)
+    marked = rows.withColumn("__order", at)
+    if order and order not in table.columns:
+        marked = marked.drop(order)
+    proposed = complete(marked, table, defaults, keep=["__order"])
     columns = table.columns
     packed = F.struct(*[F.col(c) for c in columns])
     batch = proposed.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("__order").alias("o"), packed.alias("r")))).alias("__rows"))
