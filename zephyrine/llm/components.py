@@ -20,17 +20,23 @@ def _checksum(edges: DataFrame) -> tuple:
     return (row["n"], row["h"])
 
 
+def _least(edges: DataFrame, at) -> DataFrame:
+    """``u, m``: ``at`` for each node ``u``, written out, so that the join that follows has two plain
+    exchanges and adaptive execution can split the one of a node with very many edges."""
+    return cut(edges.groupBy("u").agg(at.alias("m")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is joined to the node's smallest neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = _least(both, F.least(F.min("v"), F.col("u")))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """With edges from larger to smaller: a node and its smaller neighbours all join the smallest."""
     down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = _least(down, F.min("v"))
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
