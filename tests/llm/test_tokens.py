@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from zephyrine.llm import bpe, pretoken, tokencount
+from zephyrine.llm import bpe, pairs, pretoken, tokencount
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,21 +66,34 @@ def test_scan_in_small_blocks():
 def test_codec_equals_library(spark, sf, library):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     codec = bpe.Codec(bpe.read_ranks(RANKS))
-    for text, pieces in zip(texts, codec.pieces(texts)):
-        ids = codec.encode(pieces)
+    for text, entries in zip(texts, codec.entries(texts)):
+        ids = codec.ids(entries)
         assert ids == library.encode_ordinary(text)
         assert codec.decode(ids) == text.encode()
         starts = codec.offsets(ids)
         assert starts[0] == 0 and all(b - a == len(codec.words[i]) for a, b, i in zip(starts, starts[1:], ids))
 
 
-def test_cache_that_overflows(monkeypatch):
+def test_cache_that_overflows(monkeypatch, library):
     monkeypatch.setattr(bpe, "CACHED", 3)
     codec = bpe.Codec(bpe.read_ranks(RANKS))
-    pieces = codec.pieces(["one two three four five six one two"])[0]
-    ids = codec.encode(pieces)
-    assert codec.decimals(pieces) == " ".join(map(str, ids))
-    assert codec.decode(ids) == b"one two three four five six one two"
+    for text in ["one two three four five six one two", "one seven", "", "seven seventeenhundredthings " * 3]:
+        (own,) = codec.entries([text])
+        ids = codec.ids(own)
+        assert ids == library.encode_ordinary(text)
+        assert codec.decimals(own) == " ".join(map(str, ids))
+        assert codec.decode(ids) == text.encode()
+
+
+def test_merging_together_equals_one_by_one():
+    ranks = bpe.read_ranks(RANKS)
+    rng = random.Random(9)
+    pieces = [bytes(rng.randrange(256) for _ in range(rng.randint(1, pairs.LONGEST))) for _ in range(2000)]
+    pieces += ["".join(rng.choice("aehinorst é") for _ in range(rng.randint(1, 30))).encode()[: pairs.LONGEST] for _ in range(4000)]
+    pieces += [b"a" * k for k in range(1, pairs.LONGEST + 1)]
+    pieces = [p for p in pieces if p not in ranks]
+    assert pairs.Pairs(ranks).merge(pieces) == [bpe.merge(p, ranks) for p in pieces]
+    assert pairs.Pairs(ranks).merge([]) == []
 
 
 def sha(x):

@@ -1,12 +1,13 @@
 """Byte-level BPE: encoding with offsets, decoding, and digests of both.
 
-Texts are split by :mod:`pretoken`; each distinct slice is merged once per worker and its ids are
+Texts are split by :mod:`pretoken`; new slices of a batch are merged together (:mod:`pairs`) and their ids
 cached, so the cost per occurrence is one look-up. The cache is bounded: it starts again when full.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from itertools import chain
 
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zephyrine.llm import common, pretoken
+from zephyrine.llm.pairs import LONGEST, Pairs
 
 #: Distinct slices whose ids a worker keeps.
-CACHED = 400_000
+CACHED = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,39 +53,79 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
 
 
+Entry = tuple[tuple[int, ...], str]
+
+
 class Codec:
-    """Encoder and decoder over one ranks table."""
+    """Encoder and decoder over one ranks table. An entry is a slice's ids and their decimal numbers."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.words = [b""] * (max(ranks.values(), default=-1) + 1)
         for word, i in ranks.items():
             self.words[i] = word
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.said: dict[str, str] = {}
-
-    def learn(self, piece: str) -> tuple[int, ...]:
-        if len(self.cache) >= CACHED:
+        self.ints = list(range(len(self.words)))
+        self.said = list(map(str, self.ints))
+        self.pairs = Pairs(ranks)
+        self.cache: dict[str, Entry] = {}
+
+    def learn(self, slices: list[str]) -> dict[str, Entry]:
+        """Entries of slices that the cache lacks; all are merged together.
+
+        Entries hold no cycles, so the collector need not walk the cache again and again: what is there
+        is set aside from it.
+        """
+        gc.disable()
+        try:
+            return self._learn(slices)
+        finally:
+            gc.freeze()
+            gc.enable()
+
+    def _learn(self, slices: list[str]) -> dict[str, Entry]:
+        raw = [p.encode("utf-8", "surrogatepass") for p in slices]
+        get, short = self.ranks.get, []
+        ids: list[list[int]] = []
+        for k, piece in enumerate(raw):
+            whole = get(piece)
+            if whole is not None:
+                ids.append([whole])
+            elif len(piece) <= LONGEST:
+                ids.append([])
+                short.append(k)
+            else:
+                ids.append(merge(piece, self.ranks))
+        for k, own in zip(short, self.pairs.merge([raw[k] for k in short])):
+            ids[k] = own
+        ints, said = self.ints, self.said
+        found = {p: (tuple([ints[i] for i in own]), " ".join([said[i] for i in own])) for p, own in zip(slices, ids)}
+        if len(self.cache) + len(found) > CACHED:
             self.cache.clear()
-            self.said.clear()
-        ids = self.cache[piece] = tuple(merge(piece.encode("utf-8", "surrogatepass"), self.ranks))
-        self.said[piece] = " ".join(map(str, ids))
-        return ids
+        self.cache.update(found)
+        return found
+
+    def look(self, texts: list[list[str]]) -> list[list[Entry]]:
+        """The entries of the slices of each text."""
+        get = self.cache.get
+        out = [[get(p) for p in own] for own in texts]
+        holes = [k for k, own in enumerate(out) if None in own]
+        if holes:
+            found = self.learn(list({p for k in holes for p, e in zip(texts[k], out[k]) if e is None}))
+            for k in holes:
+                out[k] = [e or found[p] for p, e in zip(texts[k], out[k])]
+        return out
 
-    def pieces(self, texts: list[str]) -> list[list[str]]:
-        return pretoken.split(texts)
+    def entries(self, texts: list[str]) -> list[list[Entry]]:
+        return self.look(pretoken.split(texts))
 
-    def encode(self, pieces: list[str]) -> list[int]:
-        get, learn = self.cache.get, self.learn
-        return list(chain.from_iterable([get(p) or learn(p) for p in pieces]))
+    @staticmethod
+    def ids(entries: list[Entry]) -> list[int]:
+        return list(chain.from_iterable([e[0] for e in entries]))
 
-    def decimals(self, pieces: list[str]) -> str:
-        """The ids of the slices as decimal numbers with one space between."""
-        try:
-            return " ".join([self.said[p] for p in pieces])
-        except KeyError:
-            # the cache was emptied in the middle of this text
-            return " ".join(map(str, self.encode(pieces)))
+    @staticmethod
+    def decimals(entries: list[Entry]) -> str:
+        """The ids as decimal numbers with one space between."""
+        return " ".join([e[1] for e in entries])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
@@ -152,7 +194,7 @@ def encode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str =
         c = codec(shared)
 
         def step(cols):
-            ids = [c.encode(p) for p in c.pieces(cols[1])]
+            ids = [c.ids(e) for e in c.entries(cols[1])]
             return [cols[0], ids, [c.offsets(x) for x in ids]]
 
         return step
@@ -191,10 +233,10 @@ def round_trip(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: s
 
         def step(cols):
             n, said, back = [], [], []
-            for pieces in c.pieces(cols[1]):
-                ids = c.encode(pieces)
+            for own in c.entries(cols[1]):
+                ids = c.ids(own)
                 n.append(len(ids))
-                said.append(sha(c.decimals(pieces).encode()).hexdigest())
+                said.append(sha(c.decimals(own).encode()).hexdigest())
                 back.append(sha(c.decode(ids)).hexdigest())
             return [cols[0], n, said, back]
 
