@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zephyrine.llm import bpe, mixing, quality, queries, rules, simhash
+from zephyrine.llm import bpe, mixing, nearcopies, quality, queries, rules
 from zephyrine.llm.common import table
 
 
@@ -29,8 +29,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return nearcopies.one_of_each(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
