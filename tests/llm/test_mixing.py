@@ -76,3 +76,33 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a", 9, 9, "x"), (2, "b", 9, 9, "y")], "doc_id long, source string, slot int, block int, position string")
     assert mixing.mix(df).columns == df.columns
     assert {r.position for r in mixing.schedule(df).collect()} == {0, 1}
+
+
+def test_given_weights_over_many_slots():
+    """Less than a block from the exact share at every slot, however many there are."""
+    rows = {"big": 60_000} | {f"s{i}": 6_000 for i in range(20)}
+    weights = {s: n**0.5 for s, n in rows.items()} | {"s3": 1e-3}
+    found = mixing.exact_slots(rows, weights, 1)
+    order = sorted((x, s) for s, own in found.items() for x in own[0].tolist())
+    assert [x for x, _ in order] == list(range(sum(rows.values())))
+    total, placed = sum(weights.values()), dict.fromkeys(rows, 0)
+    for t, s in order:
+        placed[s] += 1
+        if t % 97 == 0:
+            assert all(abs(n - (t + 1) * weights[x] / total) < 1 + 1e-6 for x, n in placed.items())
+        if placed[s] == rows[s]:
+            break
+    assert t > 50_000
+    assert all((own[1] <= own[0]).all() and (own[0] < own[2]).all() for own in found.values())
+
+
+def test_default_schedule_has_no_period(spark):
+    """A source that weighs under 1 / 4000 is not placed more often than its weight says."""
+    data = [(i, "rare" if i < 20 else "often") for i in range(20_000)]
+    got = mixing.schedule(spark.createDataFrame(data, "doc_id long, source string"), {"rare": 1e-4, "often": 1.0}, block=1).collect()
+    assert sorted(r.position for r in got) == list(range(len(data)))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    assert sum(r.source == "rare" and r.slot < 19_900 for r in got) <= 2
+    few = mixing.schedule(spark.createDataFrame(data[:50], "doc_id long, source string"), block=4).collect()
+    assert sorted(r.position for r in few) == list(range(50))
+    assert len({(r.slot, r.place) for r in few}) == 50

@@ -5,9 +5,10 @@ a source with weight ``w`` may be placed from slot ``floor(j / w)`` on and is du
 one block is placed per slot, the one due first among those released. As the weights sum to one, all
 deadlines are met, so no source is ever a block or more away from its share (Baruah et al., 1996).
 
-Weights are whole multiples of ``1 / period``, so the schedule repeats after ``period`` slots: one period
-is worked out on the driver and a block's slot follows by arithmetic, on any number of rows. When a
-source ends, the others' weights are scaled up and a new phase begins. Every row is placed exactly once.
+Weights are taken as they are, as whole numbers with a common denominator, and the driver works the slots
+out block by block. With a ``period`` they are rounded to whole multiples of ``1 / period`` instead: the
+schedule repeats after ``period`` slots, and the distance from the given weights grows with their number.
+When a source ends, the others' weights are scaled up and a new phase begins. Every row is placed exactly once.
 """
 
 from __future__ import annotations
@@ -15,12 +16,17 @@ from __future__ import annotations
 import heapq
 import math
 from dataclasses import dataclass
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents in a block, and slots after which a schedule repeats.
-BLOCK, PERIOD = 32, 4000
+#: Documents in a block.
+BLOCK = 32
+#: Blocks whose slots are broadcast, at most; beyond it they are joined by a shuffle.
+BROADCAST = 1_000_000
 #: Exponent by which the sizes of sources become weights where no weights are given.
 ALPHA = 0.5
 #: Rows that ranking puts together at once, on average.
@@ -79,7 +85,7 @@ class Phase:
     last: dict[str, int]
 
 
-def plan(rows: dict[str, int], weights: dict[str, float], block: int = BLOCK, period: int = PERIOD) -> list[Phase]:
+def plan(rows: dict[str, int], weights: dict[str, float], block: int, period: int) -> list[Phase]:
     """The phases that place all ``rows`` of each source. ``weights`` must be positive for each source."""
     left = {s: -(-n // block) for s, n in rows.items() if n > 0}
     done = dict.fromkeys(left, 0)
@@ -109,6 +115,45 @@ def plan(rows: dict[str, int], weights: dict[str, float], block: int = BLOCK, pe
     return out
 
 
+def exact_slots(rows: dict[str, int], weights: dict[str, float], block: int = BLOCK) -> dict[str, np.ndarray]:
+    """Of each source's blocks: slot, release, deadline and the position of the first row, a row of an array each.
+
+    Earliest deadline first with the exact weights, phase by phase. ``weights`` must be positive.
+    """
+    left = {s: -(-n // block) for s, n in rows.items() if n > 0}
+    exact = {s: Fraction(weights[s]) for s in left}
+    whole = math.lcm(*(w.denominator for w in exact.values()))
+    share = {s: int(w * whole) for s, w in exact.items()}
+    out = {s: np.zeros((4, n), np.int64) for s, n in left.items()}
+    done = dict.fromkeys(left, 0)
+    begin = at = 0
+    while left:
+        total = sum(share[s] for s in left)
+        ready: list[tuple[int, str, int]] = []
+        later = [(0, -(-total // share[s]), s) for s in left]
+        heapq.heapify(later)
+        placed = dict.fromkeys(left, 0)
+        slot = 0
+        while True:
+            while later and later[0][0] <= slot:
+                release, due, s = heapq.heappop(later)
+                heapq.heappush(ready, (due, s, release))
+            due, s, release = heapq.heappop(ready)
+            k = done[s] + placed[s]
+            out[s][:, k] = begin + slot, begin + release, begin + due, at
+            at += min(block, rows[s] - k * block)
+            placed[s] += 1
+            slot += 1
+            j = placed[s]
+            if j == left[s]:
+                break
+            heapq.heappush(later, (j * total // share[s], -(-(j + 1) * total // share[s]), s))
+        begin += slot
+        done = {s: done[s] + n for s, n in placed.items()}
+        left = {s: n - placed[s] for s, n in left.items() if n > placed[s]}
+    return out
+
+
 def _key(source: str):
     """A source's name as a key that is never null."""
     return F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
@@ -118,7 +163,7 @@ def schedule(
     docs: DataFrame,
     weights: dict[str | None, float] | None = None,
     block: int = BLOCK,
-    period: int = PERIOD,
+    period: int | None = None,
     alpha: float = ALPHA,
     seed: int = SEED,
     doc_id: str = "doc_id",
@@ -131,6 +176,7 @@ def schedule(
     ``position`` counts all rows from zero in the order of the mixture; ``release`` and ``deadline`` are
     slots too. ``weights`` are by source (None: the source is null); a source that they lack, or all if
     they are not given, weighs its number of rows to the power ``alpha``, scaled to the given ones' mean.
+    With a ``period`` weights are rounded to multiples of its inverse.
     Weights that are zero or less are an error, since rows are neither dropped nor repeated. A null source
     is a source of its own. Rows of one source with the same id follow one another by ``ties``, else in
     any order. An empty table gives no rows.
@@ -146,7 +192,7 @@ def schedule(
     own = {s: n**alpha for s, n in rows.items()}
     given = [s for s in rows if s in wanted]
     scale = sum(wanted[s] for s in given) / sum(own[s] for s in given) if given else 1.0
-    phases = plan(rows, {s: wanted.get(s, own[s] * scale) for s in rows}, block, period)
+    shares = {s: wanted.get(s, own[s] * scale) for s in rows}
 
     # ranks within a source: rows before its hash range, plus the rank in the range
     ranges = 256
@@ -163,8 +209,24 @@ def schedule(
     ranked = ranked.withColumn(rank, F.row_number().over(order) - 1 + F.col(p("__start")))
     ranked = ranked.withColumn(p("block"), F.floor(F.col(rank) / block)).withColumn(p("place"), F.col(rank) % block)
 
-    # the schedule: a row for each source, phase and turn in its period; at most sources x period x phases
     spark = docs.sparkSession
+    results = ("slot", "position", "release", "deadline")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in {p(x) for x in ("block", "place", *results)}]
+    if period is None:
+        found = exact_slots(rows, shares, block)
+        names = [key, p("block"), p("slot"), p("release"), p("deadline"), p("__at")]
+        sizes = [x.shape[1] for x in found.values()]
+        parts = [np.arange(n) for n in sizes], *([x[i] for x in found.values()] for i in range(4))
+        flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in parts]
+        of = pa.array(list(found), pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64()))
+        table = spark.createDataFrame(pa.table([of, *(pa.array(x) for x in flat)], names=names))
+        ranked = ranked.select(*kept, key, p("block"), p("place"))
+        out = ranked.join(F.broadcast(table) if sum(sizes) <= BROADCAST else table, [key, p("block")])
+        made = {x: F.col(p(x)) for x in results} | {"position": F.col(p("__at")) + F.col(p("place"))}
+        return out.select(*kept, p("block"), p("place"), *[made[x].cast("long").alias(p(x)) for x in results])
+
+    # the schedule: a row for each source, phase and turn in its period; at most sources x period x phases
+    phases = plan(rows, shares, block, period)
     turns, at = [], p("__phase")
     for i, f in enumerate(phases):
         for s, slots in f.slots.items():
@@ -186,7 +248,6 @@ def schedule(
         p("release"): begin + F.floor((j - first) * size / quota),
         p("deadline"): begin + F.ceil((j - first + 1) * size / quota),
     }
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in {*made, p("block"), p("place")}]
     return out.select(*kept, p("block"), p("place"), *[x.cast("long").alias(n) for n, x in made.items()])
 
 
