@@ -83,3 +83,24 @@ def test_host_of(spark):
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     got = [r[0] for r in df.select(htmltext.host_column("url")).collect()]
     assert got == [htmltext.host_of(u) for u in urls] == ["a.b", "h", "h2", "", "", "", "x", ""]
+
+
+DEEP = "".join(f"<div class='{'utility-' * 9}{i}'>" for i in range(30))
+
+
+@pytest.mark.parametrize("top", ["<article>", "<div id=c>", DEEP + "<article>", DEEP + "<div id=c>"])
+def test_long_paths_in_the_article(spark, top):
+    """Text deep in the article stays, on single pages and by a host's template, wherever paths get too long."""
+
+    def source(i):
+        line = "<font>line {} {} of a long text<br>" if "article" in top else "<p>line {} {} of a long text</p>"
+        lines = "".join(line.format(i, j) for j in range(200))
+        return f"<nav><a href=1>menu</a></nav>{top}<p>first {i}</p>{DEEP}<p>deep {i}</p>{'</div>' * 30}{lines}"
+
+    def want(i):
+        return " ".join([f"first {i} deep {i}", *(f"line {i} {j} of a long text" for j in range(200))])
+
+    assert main(source(0)) == want(0)
+    rows = [(i, f"http://h/{i}", source(i)) for i in range(6)]
+    got = htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: (r.text, r.n_chars) for r in got} == {i: (want(i), len(want(i))) for i in range(6)}

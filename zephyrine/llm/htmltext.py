@@ -112,16 +112,58 @@ def tag(name: str, rest: str) -> Tag:
     return found
 
 
+class Within:
+    """Tells whether paths lie in one of the given elements.
+
+    A path that grew too long begins with a hash that stands for all above it; ``above`` has the parent's path
+    of each such beginning.
+    """
+
+    def __init__(self, main: list[str], above: dict[str, str]):
+        self.exact, self.above = set(main), above
+        self.inside = ("",) if "" in self.exact else tuple(f"{p}/" for p in main)
+        self.known: dict[str, bool] = {}
+
+    def __call__(self, path: str) -> bool:
+        if path in self.exact or path.startswith(self.inside):
+            return True
+        if path[:1] != "~":
+            return False
+        top = path.partition("/")[0]
+        said = self.known.get(top)
+        if said is None:
+            # up the hashes, one by one, as there may be very many
+            seen = [top]
+            while True:
+                at = self.above.get(seen[-1], "")
+                if at in self.exact or at.startswith(self.inside):
+                    said = True
+                elif at[:1] == "~":
+                    top = at.partition("/")[0]
+                    if top in self.exact:
+                        said = True
+                    elif (said := self.known.get(top)) is None:
+                        seen.append(top)
+                        continue
+                else:
+                    said = False
+                break
+            self.known.update(dict.fromkeys(seen, said))
+        return said
+
+
 class Page:
     """A page's tokens: how often each path of elements opens, and its texts with the paths they stand in.
 
     ``texts``: (path, is beside the article, is in a link, decoded text); a path of None is a block's edge.
     ``hints``: path -> how much its element looks like the article's.
+    ``above``: hash that stands for a long path -> path of that element's parent.
     """
 
     def __init__(self, source: str):
         self.opened: dict[str, int] = defaultdict(int)
         self.hints: dict[str, int] = {}
+        self.above: dict[str, str] = {}
         self.texts: list[tuple[str | None, bool, bool, str]] = []
         # open elements: name, path, state, in a link, inside an article
         stack: list[tuple[str, str, int, bool, bool]] = [("", "", PLAIN, False, False)]
@@ -181,6 +223,7 @@ class Page:
                     path = f"{path}~{min(before + 1, ORDER)}"
             if len(path) > 600:
                 path = f"~{xxhash.xxh64_hexdigest(path)}"
+                self.above[path] = stack[-1][1]
             if state != STRONG:
                 if t.beside == STRONG:
                     state = STRONG
@@ -220,13 +263,12 @@ class Page:
         """The text in elements of the given paths, blocks joined by one space."""
         if not main:
             return ""
-        exact = set(main)
-        inside = tuple(f"{p}/" for p in main) if "" not in exact else ("",)
+        within = Within(main, self.above)
         parts = []
         for path, beside, _, text in self.texts:
             if path is None:
                 parts.append(" ")
-            elif not beside and (path in exact or path.startswith(inside)):
+            elif not beside and within(path):
                 parts.append(text)
         return " ".join("".join(parts).split())
 
@@ -237,7 +279,7 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-Token = tuple[str, int, int, int, int, int, int, int]  # path, pages, occurrences, d1, d2, own, linked, hint
+Token = tuple[str, int, int, int, int, int, int, int, str]  # path, pages, occurrences, d1, d2, own, linked, hint, above
 
 
 def choose(tokens: list[Token], pages: int) -> list[str]:
@@ -259,33 +301,49 @@ def choose(tokens: list[Token], pages: int) -> list[str]:
         if not parent or parent in template or path.startswith("~"):
             template.add(path)
     by = {t[0]: t for t in tokens}
+    above = {t[0]: t[8] for t in tokens if t[8]}
+
+    def depth(path: str) -> int:
+        n = len(path)
+        while path[:1] == "~" and (path := above.get(path.partition("/")[0], "")):
+            n += len(path)
+        return n
+
+    sized = [t for t in tokens if t[5]]
+
+    def held(path: str) -> tuple[int, int]:
+        within = Within([path], above)
+        own = [t for t in sized if within(t[0])]
+        return sum(t[5] for t in own), sum(t[5] - t[6] for t in own)
+
     for least in (3, 2, 1):
         found = sorted(p for p in template if by[p][7] >= least)
         # elements in chosen ones are part of them
-        outer = [p for p in found if not any(p.startswith(f"{q}/") for q in found)]
+        outer = [p for p in found if not any(p != q and Within([q], above)(p) for q in found)]
         if least == 1:
             outer = [p for p in outer if by[p][1] == by[p][2]]
-            outer = sorted(outer, key=lambda p: -sum(t[5] for t in tokens if t[0] == p or t[0].startswith(f"{p}/")))[:1]
+            outer = sorted(outer, key=lambda p: -held(p)[0])[:1]
         if outer:
             return outer
     once = [p for p in template if by[p][1] == by[p][2]]
-    inside = {p: sum(t[5] - t[6] for t in tokens if t[0] == p or t[0].startswith(f"{p}/")) for p in once}
+    inside = {p: held(p)[1] for p in once}
     total = sum(t[5] for t in tokens)
     if not total:
         return []
     most = [p for p in once if 10 * inside[p] >= 7 * total]
-    return [max(most, key=lambda p: (len(p), p))] if most else [""]
+    return [max(most, key=lambda p: (depth(p), p))] if most else [""]
 
 
 def alone(page: Page) -> list[Token]:
     """A page's tokens as if it were its host's only one; what occurs equally often is one class."""
     own = page.sizes()
-    return [(p, 1, n, n, n, sum(own.get(p, (0, 0))), own.get(p, (0, 0))[1], page.hints.get(p, 0)) for p, n in page.opened.items()]
+    return [(p, 1, n, n, n, sum(own.get(p, (0, 0))), own.get(p, (0, 0))[1], page.hints.get(p, 0), page.above.get(p, "")) for p, n in page.opened.items()]
 
 
 TOKENS = T.StructType(
     [T.StructField("host", T.StringType()), T.StructField("path", T.StringType())]
     + [T.StructField(c, T.LongType()) for c in ("pages", "times", "d1", "d2", "own", "linked", "hint")]
+    + [T.StructField("above", T.StringType())]
 )
 #: Distinct (host, path) that a task adds up before it passes them on.
 HELD = 100_000
@@ -300,15 +358,15 @@ def host_tokens(pages: DataFrame) -> DataFrame:
     """TOKENS of each host over all its pages (columns ``page_id, url, html``); path '' counts pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list[int]] = {}
+        held: dict[tuple[str, str], list] = {}
 
         def out() -> pa.RecordBatch:
             cols = [[k[0] for k in held], [k[1] for k in held], *(list(c) for c in zip(*held.values()))]
-            types = [pa.string(), pa.string()] + [pa.int64()] * 7
+            types = [pa.string(), pa.string()] + [pa.int64()] * 7 + [pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=TOKENS.fieldNames())
 
-        def note(key, times, digest, own, linked, hint):
-            t = held.setdefault(key, [0] * 7)
+        def note(key, times, digest, own, linked, hint, above=""):
+            t = held.setdefault(key, [0] * 7 + [above])
             t[0] += 1
             t[1] += times
             t[2] += digest >> 33
@@ -325,7 +383,7 @@ def host_tokens(pages: DataFrame) -> DataFrame:
                 note((host, ""), 1, 0, 0, 0, 0)
                 for path, n in page.opened.items():
                     a, b = sizes.get(path, (0, 0))
-                    note((host, path), n, xxhash.xxh64_intdigest(f"{n}\n{seed}"), a + b, b, page.hints.get(path, 0))
+                    note((host, path), n, xxhash.xxh64_intdigest(f"{n}\n{seed}"), a + b, b, page.hints.get(path, 0), page.above.get(path, ""))
             if len(held) > HELD:
                 yield out()
                 held.clear()
@@ -335,7 +393,7 @@ def host_tokens(pages: DataFrame) -> DataFrame:
     common.ship(pages.sparkSession)
     sums = [F.sum(c).alias(c) for c in TOKENS.fieldNames()[2:8]]
     found = pages.select("page_id", "url", "html").mapInArrow(run, TOKENS)
-    return found.groupBy("host", "path").agg(*sums, F.max("hint").alias("hint"))
+    return found.groupBy("host", "path").agg(*sums, F.max("hint").alias("hint"), F.max("above").alias("above"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
