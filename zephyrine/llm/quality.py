@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zephyrine.llm import common
@@ -175,20 +176,21 @@ def train(bags_of: list[np.ndarray], y: np.ndarray, seed: int = SEED, epochs: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = SEED) -> Model:
-    """A model learnt from at most ``most`` labelled rows, none of them held out (crc32 of the id as
-    text, modulo 5, is zero). Only texts and labels are seen."""
+    """A model learnt from at most ``most`` labelled rows (the first by a hash of the id), none of them held out
+    (crc32 of the id as text, modulo 5, is zero). Only texts and labels are seen."""
     chosen = labelled(docs, labels, most, common.crc_mod("doc_id", 5) != 0)
 
     def make():
-        return lambda cols: [cols[0], cols[1], [passages(t).astype(np.float32).ravel().tolist() for t in cols[2]]]
+        return lambda cols: [cols[0], cols[1], [passages(t).astype(np.float32).tobytes() for t in cols[2]]]
 
-    rows = common.map_texts(chosen, ["doc_id", "quality", "text"], 2, make, BAGS).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    bags = [np.array(r["x"]).reshape(-1, WIDTH) for r in rows]
-    return train(bags, np.array([float(r["quality"] == 1) for r in rows]), seed)
+    rows = common.map_texts(chosen, ["doc_id", "quality", "text"], 2, make, BAGS)
+    # an id may have many rows
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(most).toArrow()
+    bags = [np.frombuffer(x.as_buffer(), np.float32).reshape(-1, WIDTH).astype(float) for x in rows.column("x")]
+    return train(bags, (rows.column("quality").to_numpy() == 1).astype(float), seed)
 
 
-BAGS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("x", T.ArrayType(T.FloatType()))])
+BAGS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("x", T.BinaryType())])
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
 

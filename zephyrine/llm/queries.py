@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zephyrine.llm import bpe, brown, fingerprints, htmltext, mixing, quality, rules, simhash, tokencount, warc
-from zephyrine.llm.common import table
+from zephyrine.llm.common import cut, table
 
 
 def vocabulary(name: str) -> str:
@@ -49,8 +49,8 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+    measured = cut(rules.measure(table(spark, sf_dir, "documents")))
+    return rules.judge_measured(measured, rules.fit_measured(measured, table(spark, sf_dir, "labels")))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

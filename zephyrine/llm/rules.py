@@ -1,17 +1,21 @@
 """Quality rules: per-document rule statistics, fixed rules, and an isolation forest over the statistics.
 
-The forest (Liu, Ting and Zhou, 2008) is grown on a bounded sample of labelled rows. A document whose
-mean path over the random splits is short is unusual; how short is too short is calibrated on the
-labelled sample, so that no more than a set share of good rows is lost. Scoring is one pass over rows.
+The forest (Liu, Ting and Zhou, 2008) is grown on a bounded sample of labelled rows, good and bad. A document
+whose mean path over the random splits is short is unusual, and only the paths' lengths count. A split's
+feature is drawn by how far it alone parts the sample's labels, so that ratios in which good texts differ
+among themselves are seldom split. How short a path is too short is calibrated on all labelled rows, so that
+no more than a set share of good ones is lost. Texts are read once; what follows works on their statistics.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,11 +113,13 @@ class Forest:
         return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
     @classmethod
-    def grow(cls, x: np.ndarray, trees: int, sample: int, seed: int) -> Forest:
+    def grow(cls, x: np.ndarray, trees: int, sample: int, seed: int, chances: np.ndarray | None = None) -> Forest:
+        """``chances``: how likely a split is on each feature, where it varies; by default all the same."""
         rng = np.random.default_rng(seed)
         sample = min(sample, len(x))
+        chances = np.ones(x.shape[1]) if chances is None else chances
         out = cls(sample)
-        top = math.ceil(math.log2(max(sample, 2))) + 2
+        top = math.ceil(math.log2(max(sample, 2)))
         for _ in range(trees if sample else 0):
             rows: list[list[float]] = []
             todo = [(x[rng.choice(len(x), sample, replace=False)], 0, None)]
@@ -123,17 +129,17 @@ class Forest:
                 if parent is not None:
                     rows[parent[0]][parent[1]] = me
                 low, high = part.min(axis=0), part.max(axis=0)
-                split = np.flatnonzero(high > low)
+                split = np.flatnonzero((high > low) & (chances > 0))
                 if depth >= top or len(part) < 2 or not len(split):
                     rows.append([-1, 0.0, 0, 0, depth + cls.unsplit(len(part))])
                     continue
-                f = int(rng.choice(split))
+                f = int(rng.choice(split, p=chances[split] / chances[split].sum()))
                 at = float(rng.uniform(low[f], high[f]))
                 rows.append([f, at, 0, 0, 0.0])
                 right = part[:, f] > at
                 todo += [(part[right], depth + 1, (me, 3)), (part[~right], depth + 1, (me, 2))]
             a = np.array(rows)
-            out.trees.append((a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4], low_high(x)))
+            out.trees.append((a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4]))
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -141,9 +147,8 @@ class Forest:
         if not self.trees or not len(x):
             return np.zeros(len(x))
         total = np.zeros(len(x))
-        for feature, cut, left, right, path, (low, high) in self.trees:
+        for feature, cut, left, right, path in self.trees:
             at = np.zeros(len(x), int)
-            out_of = ((x < low) | (x > high)).sum(axis=1)
             while True:
                 f = feature[at]
                 live = np.flatnonzero(f >= 0)
@@ -151,79 +156,124 @@ class Forest:
                     break
                 now = at[live]
                 at[live] = np.where(x[live, f[live]] > cut[now], right[now], left[now])
-            total += path[at] / (1.0 + out_of)
+            total += path[at]
         return 2.0 ** (-total / len(self.trees) / max(self.unsplit(self.sample), 1e-9))
 
 
-def low_high(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A generous range of what was seen, a feature at a time."""
-    low, high = x.min(axis=0), x.max(axis=0)
-    room = 0.5 * (high - low) + 1e-9
-    return low - room, high + room
+def parting(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """How far each feature alone parts good rows from others: the greatest difference of their shares
+    below a bound (from 0 to 1), squared. All the same if there is one kind of rows only."""
+    if good.all() or not good.any():
+        return np.ones(x.shape[1])
+    out = []
+    for v in x.T:
+        order = np.argsort(v, kind="stable")
+        ends = np.append(np.diff(v[order]) > 0, True)
+        below = np.cumsum(good[order]) / good.sum() - np.cumsum(~good[order]) / (~good).sum()
+        out.append(float(np.abs(below[ends]).max()) ** 2)
+    return np.array(out) if any(out) else np.ones(x.shape[1])
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, lose: float) -> float:
-    """The threshold with the most bad rows above it among those that lose at most ``lose`` of the good
-    rows; the middle of the gap to the next lower score. Infinite if there are no good rows."""
-    if not good.any():
+def calibrate(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, lose: float) -> float:
+    """The threshold from histograms of the scores of good and of bad rows (``bins`` in ascending order).
+
+    Of the thresholds that lose at most ``lose`` of the good rows, those with the most bad rows above
+    them, and of these the highest: the middle between two bins. Infinite if there are no good rows.
+    """
+    if not good.sum():
         return math.inf
-    kept = np.sort(score[good])
-    allowed = kept[len(kept) - 1 - math.floor(len(kept) * lose)]
-    bad = np.sort(score[~good])
-    above = bad[bad > allowed]
-    return float((allowed + above[0]) / 2) if len(above) else float(max(allowed, bad.max(initial=allowed)))
+    # rows above a threshold just below each bin, and above all of them
+    lost = np.append(np.cumsum(good[::-1])[::-1], 0)
+    caught = np.append(np.cumsum(bad[::-1])[::-1], 0)
+    allowed = np.flatnonzero(lost <= math.floor(good.sum() * lose))
+    at = int(allowed[np.flatnonzero(caught[allowed] == caught[allowed].max())[-1]])
+    if at == len(bins):
+        return float(bins[-1]) + 1e-9
+    return float((bins[at - 1] + bins[at]) / 2) if at else float(bins[0]) - 1e-9
 
 
-#: Labelled rows at most that the forest and its threshold are fitted on.
+#: Labelled rows at most that the forest is grown on; the threshold is calibrated on all.
 LABELLED = 6000
-TREES, SAMPLE, LOSE, SEED = 120, 256, 0.002, 8
+TREES, SAMPLE, LOSE, SEED = 120, 64, 0.002, 8
+#: Steps of the score in the histograms that the threshold is taken from.
+BINS = 1 << 14
+
 
-FITTED = T.StructType([T.StructField("quality", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+def chosen_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, quality`` of each labelled id; of an id's several labels the least counts."""
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int, where=None) -> DataFrame:
-    """``quality, text`` of at most ``most`` labelled rows, the first by a hash of doc_id.
+    """``doc_id, quality, text`` of the rows of at most ``most`` labelled ids, the first by a hash of doc_id.
 
     The chosen ids are few and join the documents as a bounded broadcast; the texts are not shuffled.
     """
-    good = labels.where("doc_id is not null and quality is not null")
-    if where is not None:
-        good = good.where(where)
-    chosen = good.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = [(r["doc_id"], r["quality"]) for r in chosen.collect()]
+    good = chosen_labels(labels if where is None else labels.where(where))
+    rows = [(r["doc_id"], r["quality"]) for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     spark = docs.sparkSession
     few = spark.createDataFrame(rows, "doc_id long, quality int").coalesce(1)
     return docs.select(*common.id_text(docs)).join(F.broadcast(few), "doc_id").select("doc_id", "quality", "text")
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, most: int = LABELLED, trees: int = TREES, sample: int = SAMPLE, lose: float = LOSE, seed: int = SEED
-) -> Forest:
-    """A forest grown on the good rows among at most ``most`` labelled ones, with its threshold set on all
-    of them. Rows that the fixed rules reject are left out. With no labelled rows it finds nothing odd."""
+MEASURED = T.StructType(
+    [T.StructField("doc_id", T.LongType())]
+    + [T.StructField(c, T.LongType()) for c in COUNTS]
+    + [T.StructField("base_failed", T.BooleanType()), T.StructField("x", T.ArrayType(T.DoubleType()))]
+)
+
+
+def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, COUNTS, ``base_failed`` and FEATURES as an array ``x`` of every row of ``docs``."""
 
     def make():
         def step(cols):
-            said = [counts(t) for t in cols[2]]
-            use = [i for i, c in enumerate(said) if not failed(c[0], c[4])]
-            return [[cols[0][i] for i in use], [cols[1][i] for i in use], [features(cols[2][i], said[i]) for i in use]]
+            said = [counts(t) for t in cols[1]]
+            x = [features(t, c) for t, c in zip(cols[1], said)]
+            return [cols[0], *map(list, zip(*said)), [failed(c[0], c[4]) for c in said], x]
 
         return step
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *FITTED.fields])
-    rows = labelled(docs, labels, most)
-    got = common.map_texts(rows, ["doc_id", "quality", "text"], 2, make, schema).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["x"]))
-    x = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES))
-    good = np.array([r["quality"] == 1 for r in got], bool)
+    return common.map_texts(docs, common.id_text(docs, doc_id, text), 1, make, MEASURED)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), float).reshape(len(column), len(FEATURES))
+
+
+def fit_measured(
+    measured: DataFrame, labels: DataFrame, most: int = LABELLED, trees: int = TREES, sample: int = SAMPLE, lose: float = LOSE, seed: int = SEED
+) -> Forest:
+    """:func:`fit` on what :func:`measure` gave. Statistics are joined, not texts."""
+    rows = measured.where("NOT base_failed").join(chosen_labels(labels), "doc_id").select("doc_id", "quality", "x")
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(most).toArrow()
+    x = _matrix(got.column("x"))
+    good = got.column("quality").to_numpy() == 1
     if not good.any():
         return Forest(0, [], math.inf)
-    forest = Forest.grow(x[good], trees, sample, seed)
-    forest.threshold = calibrate(forest.score(x), good, lose)
+    forest = Forest.grow(x, trees, sample, seed, parting(x, good))
+    shared = measured.sparkSession.sparkContext.broadcast(forest)
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.floor(shared.value.score(_matrix(batch.column(1))) * BINS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at)], names=["quality", "bin"])
+
+    seen = rows.select("quality", "x").mapInArrow(binned, "quality int, bin int")
+    both = seen.groupBy("bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad")).orderBy("bin").toArrow()
+    at = [both.column(c).to_numpy() for c in ("bin", "good", "bad")]
+    # a row is above a threshold if its whole bin is
+    forest.threshold = calibrate((at[0] + 0.5) / BINS, at[1], at[2], lose)
     return forest
 
 
+def fit(docs: DataFrame, labels: DataFrame, **how) -> Forest:
+    """A forest grown on at most ``most`` labelled rows (the first by a hash of the id), with its threshold
+    set on all of them. Rows that the fixed rules reject are left out. With no labelled good rows it finds
+    nothing odd. ``how`` as for :func:`fit_measured`."""
+    return fit_measured(common.cut(measure(docs)), labels, **how)
+
+
 JUDGED = T.StructType(
     [T.StructField("doc_id", T.LongType())]
     + [T.StructField(c, T.LongType()) for c in COUNTS]
@@ -231,12 +281,19 @@ JUDGED = T.StructType(
 )
 
 
-def verdicts(texts: list[str], forest: Forest) -> tuple[list[tuple], list[bool], np.ndarray, list[bool]]:
-    said = [counts(t) for t in texts]
-    base = [failed(c[0], c[4]) for c in said]
-    x = np.array([features(t, c) for t, c in zip(texts, said)]).reshape(len(texts), len(FEATURES))
-    score = forest.score(x)
-    return said, base, score, [not b and s <= forest.threshold for b, s in zip(base, score.tolist())]
+def judge_measured(measured: DataFrame, forest: Forest) -> DataFrame:
+    """:func:`judge` on what :func:`measure` gave."""
+    common.ship(measured.sparkSession)
+    shared = measured.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = shared.value.score(_matrix(batch.column(len(COUNTS) + 2)))
+            base = np.array(batch.column(len(COUNTS) + 1).to_pylist(), bool)
+            kept = ~base & (score <= shared.value.threshold)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(COUNTS) + 2], pa.array(score), pa.array(kept)], names=JUDGED.fieldNames())
+
+    return measured.mapInArrow(run, JUDGED)
 
 
 def judge(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -245,19 +302,20 @@ def judge(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "
     Null and empty texts have no words, so the fixed rules reject them. Repeated rows get the same
     verdict; null ids stay null; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
-
-    def make():
-        def step(cols):
-            said, base, score, kept = verdicts(cols[1], shared.value)
-            return [cols[0], *map(list, zip(*said)), base, score.tolist(), kept]
+    return judge_measured(measure(docs, doc_id, text), forest)
 
-        return step
 
-    return common.map_texts(docs, common.id_text(docs, doc_id, text), 1, make, JUDGED)
+def verdicts(texts: list[str], forest: Forest) -> list[bool]:
+    said = [counts(t) for t in texts]
+    use = [i for i, c in enumerate(said) if not failed(c[0], c[4])]
+    out = [False] * len(texts)
+    score = forest.score(np.array([features(texts[i], said[i]) for i in use]).reshape(len(use), len(FEATURES)))
+    for i, s in zip(use, score.tolist()):
+        out[i] = s <= forest.threshold
+    return out
 
 
 def keep(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
-    return common.keep_rows(docs, text, lambda: lambda texts: verdicts(texts, shared.value)[3])
+    return common.keep_rows(docs, text, lambda: lambda texts: verdicts(texts, shared.value))
