@@ -1,7 +1,9 @@
 """Pre-tokenisation, encoding, decoding and counting against the public libraries."""
 
 import hashlib
+import json
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -92,7 +94,8 @@ def test_merging_together_equals_one_by_one():
     pieces += ["".join(rng.choice("aehinorst é") for _ in range(rng.randint(1, 30))).encode()[: pairs.LONGEST] for _ in range(4000)]
     pieces += [b"a" * k for k in range(1, pairs.LONGEST + 1)]
     pieces = [p for p in pieces if p not in ranks]
-    assert pairs.Pairs(ranks).merge(pieces) == [bpe.merge(p, ranks) for p in pieces]
+    words = bpe.Codec(ranks).words
+    assert pairs.Pairs(ranks).merge(pieces) == [bpe.merge(p, ranks, words) for p in pieces]
     assert pairs.Pairs(ranks).merge([]) == []
 
 
@@ -137,3 +140,55 @@ def test_proven_tokens_are_single():
     whole = sorted(tokencount.prove(JSON)[2])
     assert len(whole) > 45_000
     assert all(len(e.ids) == 1 for e in library.encode_batch(whole, add_special_tokens=False))
+
+
+def plain_merge(piece, ranks):
+    """The definition: the lowest pair, the leftmost of equals, is joined until there is none."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_merge_one_by_one():
+    ranks = bpe.read_ranks(RANKS)
+    words = bpe.Codec(ranks).words
+    rng = random.Random(8)
+    for _ in range(300):
+        piece = "".join(rng.choice(["aaa", "b", "the", "é", "ing", " "]) for _ in range(rng.randint(1, 40))).encode()
+        assert bpe.merge(piece, ranks, words) == ([ranks[piece]] if piece in ranks else plain_merge(piece, ranks))
+    assert pairs.merge_one([], lambda a, b: None) == []
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "a"])
+def test_slice_of_a_megabyte(library, letters):
+    rng = random.Random(9)
+    text = "".join(rng.choice(letters) for _ in range(1 << 20))
+    begin = time.process_time()
+    codec = bpe.Codec(bpe.read_ranks(RANKS))
+    [entries] = codec.entries([text])
+    counter = tokencount.Counter(*tokencount.prove(JSON))
+    [n] = counter.count([text])
+    assert time.process_time() - begin < 30
+    ids = codec.ids(entries)
+    assert codec.decode(ids) == text.encode()
+    assert n == len(Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids)
+    short = text[:20_000]
+    assert codec.ids(codec.entries([short])[0]) == library.encode_ordinary(short)
+
+
+def test_added_tokens(tmp_path):
+    """Overlapping added tokens, as the library reads them."""
+    spec = json.load(open(JSON, encoding="utf-8"))
+    last = len(spec["model"]["vocab"])
+    for i, word in enumerate(["<a>", "<a><b>", "b><", "<|x|>"]):
+        spec["added_tokens"].append({**spec["added_tokens"][0], "content": word, "id": last + 10 + i, "special": i % 2 == 0})
+    path = str(tmp_path / "own.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    counter, own = tokencount.Counter(*tokencount.prove(path)), Tokenizer.from_file(path)
+    texts = ["x<a><b>y", "<a><a><b><", " <a> b><|x|>", "<a", "<b><b><a>", ""]
+    assert counter.count(texts) == [len(own.encode(t, add_special_tokens=False).ids) for t in texts]

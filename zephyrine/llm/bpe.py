@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zephyrine.llm import common, pretoken
-from zephyrine.llm.pairs import LONGEST, Pairs
+from zephyrine.llm.pairs import LONGEST, Pairs, merge_one
 
 #: Distinct slices whose ids a worker keeps.
 CACHED = 500_000
@@ -28,29 +28,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one slice: the adjacent pair whose joint bytes rank lowest is joined, the leftmost
-    first, until no joint is a token. A slice that is a token itself is that token."""
+def merge(piece: bytes, ranks: dict[bytes, int], words: list[bytes]) -> list[int]:
+    """Ids of one slice of any length; ``words`` are the tokens by id. A slice that is a token itself is that
+    token."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
-    cuts = list(range(n + 1))
-    none = len(ranks) + (1 << 30)
     get = ranks.get
-    pair = [get(piece[i : i + 2], none) for i in range(n - 1)]
-    while pair:
-        best = min(pair)
-        if best == none:
-            break
-        i = pair.index(best)
-        del cuts[i + 1]
-        del pair[i]
-        if i < len(pair):
-            pair[i] = get(piece[cuts[i] : cuts[i + 2]], none)
-        if i:
-            pair[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], none)
-    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+    def find(a: int, b: int) -> tuple[int, int] | None:
+        joint = get(words[a] + words[b])
+        return None if joint is None else (joint, joint)
+
+    return merge_one([ranks[piece[i : i + 1]] for i in range(len(piece))], find)
 
 
 Entry = tuple[tuple[int, ...], str]
@@ -70,16 +60,12 @@ class Codec:
         self.cache: dict[str, Entry] = {}
 
     def learn(self, slices: list[str]) -> dict[str, Entry]:
-        """Entries of slices that the cache lacks; all are merged together.
-
-        Entries hold no cycles, so the collector need not walk the cache again and again: what is there
-        is set aside from it.
-        """
+        """Entries of slices that the cache lacks; all are merged together. Nothing that is made here holds a
+        cycle, so the collector need not walk it meanwhile."""
         gc.disable()
         try:
             return self._learn(slices)
         finally:
-            gc.freeze()
             gc.enable()
 
     def _learn(self, slices: list[str]) -> dict[str, Entry]:
@@ -94,7 +80,7 @@ class Codec:
                 ids.append([])
                 short.append(k)
             else:
-                ids.append(merge(piece, self.ranks))
+                ids.append(merge(piece, self.ranks, self.words))
         for k, own in zip(short, self.pairs.merge([raw[k] for k in short])):
             ids[k] = own
         ints, said = self.ints, self.said

@@ -3,10 +3,15 @@
 Slices of similar length are the rows of an array of ids. In each round every row joins its pair of lowest
 rank, the leftmost of equals, until no row has a pair that is a token. Ranks of pairs come from a hash table
 over all ways to part a token into two tokens, probed for whole columns at a time.
+
+Long slices are merged one by one, with their pairs in a heap.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
+
 import numpy as np
 
 #: Slices longer than this are merged one by one.
@@ -15,6 +20,36 @@ LONGEST = 48
 NONE = np.int32(2**31 - 1)
 
 
+def merge_one(ids: list[int], find: Callable[[int, int], tuple[int, int] | None]) -> list[int]:
+    """``ids`` with the pair of lowest rank joined, the leftmost of equals, until none is left. ``find`` gives
+    a pair's rank and joint. The work grows as n log n with the number of ids."""
+    n, ids = len(ids), list(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    shift = max(n.bit_length(), 1)
+    # rank and place as one number; an entry whose pair has changed since is passed over
+    heap = [x[0] << shift | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (x := find(a, b)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        top = heapq.heappop(heap)
+        i = top & ((1 << shift) - 1)
+        j = after[i]
+        if ids[i] < 0 or j >= n:
+            continue
+        found = find(ids[i], ids[j])
+        if found is None or found[0] != top >> shift:
+            continue
+        ids[i], ids[j] = found[1], -1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if (x := find(ids[i], ids[k])) is not None:
+                heapq.heappush(heap, x[0] << shift | i)
+        h = before[i]
+        if h >= 0 and (x := find(ids[h], ids[i])) is not None:
+            heapq.heappush(heap, x[0] << shift | h)
+    return [x for x in ids if x >= 0]
+
+
 class Pairs:
     def __init__(self, ranks: dict[bytes, int]):
         get = ranks.get

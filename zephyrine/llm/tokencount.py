@@ -8,12 +8,14 @@ with no merging. Only other pre-tokens are merged, once per worker.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zephyrine.llm import bpe, common, pretoken
+from zephyrine.llm.pairs import merge_one
 
 #: Distinct pre-tokens outside the proven set whose counts a worker keeps.
 CACHED = 1_000_000
@@ -37,21 +39,8 @@ class Merges:
             self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
 
     def encode(self, piece: bytes) -> list[int]:
-        first, get, none = self.first, self.pairs.get, (1 << 30, 0)
-        ids = [first[b] for b in piece]
-        todo = [get(p, none) for p in zip(ids, ids[1:])]
-        while todo:
-            best = min(todo)
-            if best is none:
-                break
-            i = todo.index(best)
-            ids[i : i + 2] = [best[1]]
-            del todo[i]
-            if i < len(todo):
-                todo[i] = get((ids[i], ids[i + 1]), none)
-            if i:
-                todo[i - 1] = get((ids[i - 1], ids[i]), none)
-        return ids
+        get = self.pairs.get
+        return merge_one([self.first[b] for b in piece], lambda a, b: get((a, b)))
 
 
 def prove(path: str) -> tuple[dict[str, int], list, frozenset[str], list[str]]:
@@ -59,7 +48,10 @@ def prove(path: str) -> tuple[dict[str, int], list, frozenset[str], list[str]]:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-    special = [t["content"] for t in spec.get("added_tokens", [])]
+    added = spec.get("added_tokens", [])
+    if any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take in what is around them are not supported")
+    special = [t["content"] for t in added]
     back = {c: b for b, c in enumerate(byte_chars())}
     m = Merges(vocab, merges)
     whole = []
@@ -79,24 +71,22 @@ def prove(path: str) -> tuple[dict[str, int], list, frozenset[str], list[str]]:
 
 class Counter:
     def __init__(self, vocab: dict[str, int], merges: list, whole: frozenset[str], special: list[str]):
-        self.merges, self.whole, self.special = Merges(vocab, merges), whole, special
+        self.merges, self.whole = Merges(vocab, merges), whole
+        # where several begin at one place the longest is meant
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.known = dict.fromkeys(whole, 1)
 
     def learn(self, piece: str) -> int:
         if len(self.known) >= CACHED + len(self.whole):
             self.known = dict.fromkeys(self.whole, 1)
-        n = self.known[piece] = len(self.merges.encode(piece.encode()))
+        n = self.known[piece] = len(self.merges.encode(piece.encode("utf-8", "surrogatepass")))
         return n
 
     def count(self, texts: list[str]) -> list[int]:
         parts, owner, out = [], [], [0] * len(texts)
         for k, text in enumerate(texts):
-            own = [text]
-            for s in self.special:
-                if s in text:
-                    cut = [x.split(s) for x in own]
-                    out[k] += sum(len(x) - 1 for x in cut)
-                    own = [y for x in cut for y in x]
+            own = self.special.split(text) if self.special else [text]
+            out[k] = len(own) - 1
             parts += own
             owner += [k] * len(own)
         for k, pieces in zip(owner, pretoken.split(parts)):
@@ -139,7 +129,7 @@ def token_counts(
 
     def make():
         c = counter(shared)
-        return lambda cols: [cols[0], [len(t.encode()) for t in cols[1]], c.count(cols[1])]
+        return lambda cols: [cols[0], [len(t.encode("utf-8", "surrogatepass")) for t in cols[1]], c.count(cols[1])]
 
     out = common.map_texts(docs, common.id_text(docs, doc_id, text), 1, make, SCHEMA)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
