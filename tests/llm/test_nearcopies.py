@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from zephyrine.llm import nearcopies
 
 SCHEMA = "doc_id long, text string, source string"
@@ -72,3 +73,30 @@ def test_ids_missing_or_repeated(spark):
 
 def test_empty(empty):
     assert nearcopies.one_of_each(empty).count() == 0
+
+
+def test_bitmaps():
+    """The test by bitmaps turns no similar pair away, and some others."""
+    rng = np.random.default_rng(5)
+    test, turned = nearcopies.Bitmaps((4, 5)), 0
+    for _ in range(400):
+        base = rng.integers(-(1 << 63), 1 << 63, int(rng.integers(1, 90)))
+        other = np.concatenate([base[: int(rng.integers(0, len(base) + 1))], rng.integers(-(1 << 63), 1 << 63, int(rng.integers(0, 30)))])
+        a, b = np.unique(base), np.unique(other)
+        said = test.near(nearcopies.bitmap(a), len(a), nearcopies.bitmap(b), len(b))
+        both = len(np.intersect1d(a, b))
+        assert said or 5 * both < 4 * (len(a) + len(b) - both)
+        turned += not said
+    assert turned > 100
+    empty = np.zeros(0, np.int64)
+    assert test.near(nearcopies.bitmap(empty), 0, nearcopies.bitmap(empty), 0)
+
+
+def test_blocks(spark, monkeypatch):
+    """Groups dealt over many blocks give the same, as do all without fingerprints' help."""
+    rows = copies(4)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(r.doc_id for r in nearcopies.one_of_each(df).collect())
+    monkeypatch.setattr(nearcopies, "BLOCK", 2)
+    monkeypatch.setattr(nearcopies.simhash, "links", lambda prints: prints.select(prints.fp.alias("u"), prints.fp.alias("v")).limit(0))
+    assert sorted(r.doc_id for r in nearcopies.one_of_each(df).collect()) == want

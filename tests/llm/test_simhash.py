@@ -47,15 +47,6 @@ def test_near_duplicates(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_one_of_each(docs, empty):
-    left = simhash.one_of_each(docs)
-    assert left.columns == docs.columns
-    ids = [r.doc_id for r in left.collect()]
-    found = {r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert sorted(ids, key=str) == sorted(found, key=str)
-    assert simhash.one_of_each(empty).count() == 0
-
-
 @pytest.mark.parametrize("segments,take", [(3, 1), (5, 2), (7, 3)])
 def test_signatures_reach_four_bits(segments, take):
     masks = [m for m, _ in simhash.signatures(4, segments, take)]
@@ -70,7 +61,7 @@ def test_too_few_segments():
         simhash.signatures(4, 2, 1)
 
 
-@pytest.mark.parametrize("crowd,block", [(2, 16), (4, 64), (1000, 64)])
+@pytest.mark.parametrize("crowd,block", [(2, 16), (4, 64), (4, 2048), (1000, 64)])
 def test_links_connect_like_all_pairs(spark, crowd, block):
     rng = random.Random(5)
     prints = {rng.getrandbits(64) for _ in range(150)}

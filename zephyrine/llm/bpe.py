@@ -204,8 +204,8 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", to: str = "dec
     return encoded.withColumn(to, back(F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>"))))
 
 
-def round_trip(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text.
+def round_trip(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text", place: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text, and the long column ``place`` if given.
 
     The ids' digest is over their decimal numbers joined by one space, the other over the bytes that
     decoding the ids gives. Null counts as empty: no tokens, and both digests are the empty string's.
@@ -224,8 +224,12 @@ def round_trip(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: s
                 n.append(len(ids))
                 said.append(sha(c.decimals(own).encode()).hexdigest())
                 back.append(sha(c.decode(ids)).hexdigest())
-            return [cols[0], n, said, back]
+            return [cols[0], n, said, back, *cols[2:]]
 
         return step
 
-    return common.map_texts(docs, common.id_text(docs, doc_id, text), 1, make, DIGESTS)
+    columns, schema = common.id_text(docs, doc_id, text), DIGESTS
+    if place is not None:
+        columns = [*columns, F.col(f"`{place}`").cast("long").alias(place)]
+        schema = T.StructType([*DIGESTS.fields, T.StructField(place, T.LongType())])
+    return common.map_texts(docs, columns, 1, make, schema)

@@ -27,14 +27,24 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only where there are no other machines may it be unset."""
+    said = spark.conf.get("spark.checkpoint.dir", None)
+    if said:
+        return said.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="zephyrine-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that later steps
     neither repeat its work nor depend on executors that may be lost."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="zephyrine-")
-        )
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

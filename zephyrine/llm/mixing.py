@@ -260,3 +260,22 @@ def mix(docs: DataFrame, partitions: int | None = None, **how) -> DataFrame:
     last = docs.count()
     shard = F.floor(F.col("__mix_position") * n / max(last, 1)).cast("int")
     return placed.repartitionById(n, shard).sortWithinPartitions("__mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def ordered(written: DataFrame, to: str = "position") -> DataFrame:
+    """The rows of files that a mixture was written to, with their place in it as column ``to`` (from zero).
+
+    However readers deal the files, a file holds a run of the mixture, files are named in its order, and a row's
+    number in its file is known. ``written`` is what reading the files gave. Only counts of rows are gathered,
+    one a file; there are as many as partitions that were written.
+    """
+    at, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    sizes = written.select(at.alias("file")).groupBy("file").agg(F.count("*").alias("n")).collect()
+    starts, start = [], 0
+    for r in sorted(sizes, key=lambda r: r["file"].rpartition("/")[2]):
+        starts.append((r["file"], start))
+        start += r["n"]
+    known = written.sparkSession.createDataFrame(starts, "__file string, __start long").coalesce(1)
+    placed = written.select("*", at.alias("__file"), row.alias("__row")).join(F.broadcast(known), "__file")
+    columns = [F.col(f"`{c}`") for c in written.columns if c != to]
+    return placed.select(*columns, (F.col("__start") + F.col("__row")).alias(to))

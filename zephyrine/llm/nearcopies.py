@@ -1,15 +1,25 @@
-"""Near copies by exact similarity of word shingles: Jaccard similarity of a bound or more, none missed.
-
-In any fixed order of all shingles, two sets that similar share one of their first ``n - ceil(bound * n) + 1``
-shingles (prefix filter; Chaudhuri, Ganti and Kaushik, 2006). Shingles of many texts come last in the order;
-which they are is estimated from a sample, which changes the work that is done, never the pairs that are found.
-
-What shares a first shingle is linked to the least and the greatest of its sets, if truly similar. Only sets
-that are then still in different components are paired, so a crowd of near copies yields no list of all pairs.
+"""Near copies by SimHash, completed to an exact bound: Jaccard similarity of word shingles, none missed.
+
+Candidates come from three sources and every one is verified on the whole sets of distinct shingles.
+
+* SimHash (:mod:`simhash`): fingerprints over the same shingles, linked by deletion variants.
+* What fingerprints cannot reach: at a similarity of 0.8 two fingerprints differ in about 10 of 64 bits, for
+  which no cut into segments leaves one difference in a segment long enough to select. In any fixed order of
+  all shingles, two sets that similar share one of their first ``n - ceil(bound * n) + 1`` (prefix filter;
+  Chaudhuri, Ganti and Kaushik, 2006). Shingles of many texts come last in the order; which they are is
+  estimated from a sample, which changes the work that is done, never the pairs that are found. What shares a
+  first shingle is paired with the least and the greatest of its sets.
+* Of sets that share a first shingle and are then still in different components, all pairs are compared, in
+  blocks, by the next test.
+
+Before sets are compared, so are bitmaps of them: a bit in which two differ stands for a shingle that only one
+has, so pairs with too many such bits are not similar, for certain (Sandes, Teodoro and Melo, 2020).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,9 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zephyrine.llm import common
+from zephyrine.llm import common, packed, simhash
 from zephyrine.llm.components import components
-from zephyrine.llm.simhash import LOWER
 
 WORDS = 5
 #: Least similarity, as a fraction.
@@ -28,30 +37,48 @@ SIMILAR = (4, 5)
 SAMPLE, OFTEN, TOLD = 8, 3, 500_000
 #: Rows of keys that are broadcast, at most; beyond it they are joined by shuffles.
 BROADCAST = 1_000_000
+#: Sets that are compared at once, and bytes of their bitmaps.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Base of the logarithm by which sizes are kept as a byte.
+STEP = 1.06
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Hashes of the distinct word shingles, in ascending order; a shorter text is one shingle."""
-    own = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not own:
-        return np.zeros(0, np.int64)
-    digest = xxhash.xxh64_intdigest
-    joined = memoryview(b" ".join(own))
-    size = np.fromiter(map(len, own), np.int64, len(own))
-    ends = np.cumsum(size + 1) - 1
-    words = min(words, len(own))
-    begins = (ends - size)[: len(own) - words + 1].tolist()
-    hashes = [digest(joined[a:b], 42) for a, b in zip(begins, ends[words - 1 :].tolist())]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+    return np.unique(simhash.shingle_hashes(simhash.tokens(text), words).view(np.int64))
+
 
+def bitmap(own: np.ndarray) -> bytes:
+    """Two bits or more a shingle, each shingle sets one; a whole power of two of them."""
+    width = max(64, 1 << (2 * len(own) - 1).bit_length()) if len(own) else 64
+    bits = np.zeros(width, np.uint8)
+    bits[own & (width - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
-WHOLE = T.StructType([T.StructField("set", T.LongType()), T.StructField("own", T.ArrayType(T.LongType()))])
-SETS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "mark", "set", "n")] + [T.StructField("first", T.ArrayType(T.LongType()))])
 
+class Bitmaps:
+    """Bitmaps as whole numbers, folded to the narrower of two."""
 
-def _lists(own: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))
+    def __init__(self, similar: tuple[int, int]):
+        self.p, self.q = similar
+
+    def fits(self, n: int, m: int) -> bool:
+        """Whether sets of these sizes can be similar."""
+        return n * self.q >= m * self.p and m * self.q >= n * self.p
+
+    def near(self, a: bytes, n: int, b: bytes, m: int) -> bool:
+        """Whether sets with these bitmaps and sizes may be similar; if not, they are not."""
+        if not self.fits(n, m):
+            return False
+        x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+        wide, narrow = 8 * len(a), 8 * len(b)
+        if wide < narrow:
+            x, y, wide, narrow = y, x, narrow, wide
+        while wide > narrow:
+            wide //= 2
+            x = (x >> wide) | (x & ((1 << wide) - 1))
+        need = -(-self.p * (n + m) // (self.p + self.q))
+        return (x ^ y).bit_count() <= n + m - 2 * need
 
 
 def _name(own: np.ndarray) -> int:
@@ -64,42 +91,69 @@ def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(i, F.xxhash64(t).alias("mark"), t)
 
 
+WHOLE = T.StructType([T.StructField("set", T.LongType()), T.StructField("own", T.BinaryType())])
+SETS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "mark", "set", "n", "fp")] + [T.StructField(c, T.BinaryType()) for c in ("first", "bits")])
+
+
 def wholes(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """``set, own``: the name and the shingles of every text."""
+    """``set, own``: the name and the shingles (64-bit numbers in ascending order) of every text."""
 
     def make():
         def step(cols):
             own = [shingles(t, words) for t in cols[0]]
-            return [[_name(s) for s in own], _lists(own)]
+            return [[_name(s) for s in own], [s.tobytes() for s in own]]
 
         return step
 
     return common.map_texts(texts, ["text"], 0, make, WHOLE)
 
 
+def often(marked: DataFrame, words: int) -> np.ndarray:
+    """Shingles that many texts have, by a sample of the texts."""
+
+    def make():
+        def step(cols):
+            return [np.concatenate([shingles(t, words) for t in cols[0]])]
+
+        return step
+
+    sample = marked.where(F.pmod("mark", F.lit(SAMPLE)) == 0).dropDuplicates(["mark"])
+    each = common.map_texts(sample, ["text"], 0, make, T.StructType([T.StructField("word", T.LongType())]))
+    many = each.groupBy("word").agg(F.count("*").alias("times")).where(F.col("times") >= OFTEN)
+    return np.sort(many.orderBy(F.desc("times"), "word").limit(TOLD).select("word").toArrow().column("word").to_numpy())
+
+
 def sets(marked: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """``doc_id, mark, set, n, first`` of every row: a hash of its text, the name and size of its set, and
-    the shingles of which the set must share one with every similar set."""
+    """``doc_id, mark, set, n, fp, first, bits`` of every row: a hash of its text; the name and size of its set;
+    the SimHash fingerprint; the shingles of which the set must share one with every similar set; the bitmap.
+    The last two are left out (null) where the same task has given them for the same set before."""
     p, q = similar
-    sample = marked.where(F.pmod("mark", F.lit(SAMPLE)) == 0).dropDuplicates(["mark"])
-    often = wholes(sample, words).select(F.explode("own").alias("word")).groupBy("word").agg(F.count("*").alias("times"))
-    often = often.where(F.col("times") >= OFTEN).orderBy(F.desc("times"), "word").limit(TOLD).select("word")
-    told = np.sort(often.toArrow().column("word").to_numpy())
-    shared = marked.sparkSession.sparkContext.broadcast(told)
+    shared = marked.sparkSession.sparkContext.broadcast(often(marked, words))
 
     def make():
         told = shared.value
+        given: set[int] = set()
 
-        def front(own: np.ndarray) -> np.ndarray:
+        def front(own: np.ndarray) -> bytes:
             n = len(own)
             if len(told) and n:
                 late = told[np.minimum(np.searchsorted(told, own), len(told) - 1)] == own
                 own = np.concatenate([own[~late], own[late]])
-            return own[: n - (p * n + q - 1) // q + 1 if n else 0]
+            return own[: n - (p * n + q - 1) // q + 1 if n else 0].tobytes()
 
         def step(cols):
-            own = [shingles(t, words) for t in cols[2]]
-            return [cols[0], cols[1], [_name(s) for s in own], [len(s) for s in own], _lists([front(s) for s in own])]
+            out = [cols[0], cols[1], [], [], [], [], []]
+            for text in cols[2]:
+                every = simhash.shingle_hashes(simhash.tokens(text), words)
+                own = np.unique(every.view(np.int64))
+                name = _name(own)
+                new = name not in given
+                if new and len(given) < 1 << 18:
+                    given.add(name)
+                row = (name, len(own), simhash.majority(every), front(own) if new else None, bitmap(own) if new else None)
+                for c, x in zip(out[2:], row):
+                    c.append(x)
+            return out
 
         return step
 
@@ -112,50 +166,136 @@ def _narrow(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST else keys
 
 
-def _fits(a, b, similar: tuple[int, int]):
-    """Whether sets of sizes ``a`` and ``b`` can be similar."""
-    p, q = similar
-    return (a * q >= b * p) & (b * q >= a * p)
+def shared_first(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Sets that share a first shingle: pairs with the least and the greatest set (``u, v``), and the whole
+    group (``own``) where three sets or more do."""
+    # sizes by their logarithm, rounded down: that far apart at most, or one more
+    most = int(np.log(similar[1] / similar[0]) / np.log(STEP)) + 1
+    entries = found.agg(F.sum(F.length("first"))).first()[0] or 0
+    rows = found.where("first is not null").select("set", "n", "first")
+
+    def make():
+        def step(batch):
+            first = batch.column(2)
+            times = np.array([len(x.as_buffer()) // 8 for x in first], np.int64)
+            keys = np.frombuffer(b"".join([x.as_py() for x in first]), np.uint64)
+            size = np.minimum(np.log(np.maximum(batch.column(1).to_numpy(), 1)) / np.log(STEP), 255).astype(np.uint8)
+            return keys, np.repeat(batch.column(0).to_numpy(), times), np.repeat(size, times)
+
+        return step
+
+    def handle(value, size, starts, counts):
+        size = size.astype(int)
+        u, v = [], []
+        for hub in (starts, starts + counts - 1):
+            at = np.repeat(hub, counts)
+            near = (value != value[at]) & (np.abs(size - size[at]) <= most)
+            u.append(value[near])
+            v.append(value[at][near])
+        yield from packed.pairs(np.concatenate(u), np.concatenate(v))
+        # shingles of one passage have the same group: it is given once
+        more = counts > 2
+        sums = np.add.reduceat(packed.mixed(value), starts)
+        _, one = np.unique(np.stack([sums[more], counts[more].astype(np.uint64)]), axis=1, return_index=True)
+        yield from packed.lists(value, starts[more][one], counts[more][one])
+
+    return common.cut(packed.meet(packed.deal(rows, make, packed.parts_for(found, entries // 8)), handle))
+
+
+def _bitmapped(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Those of ``u, v, a, n, b, m`` (bitmaps and sizes) that may be similar."""
+    common.ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = Bitmaps(similar)
+        for batch in batches:
+            _, _, a, n, b, m = (c.to_pylist() for c in batch.columns)
+            mask = pa.array([test.near(*x) for x in zip(a, n, b, m)], pa.bool_())
+            yield batch.select([0, 1]).filter(mask)
+
+    return rows.select("u", "v", "a", "n", "b", "m").mapInArrow(run, "u long, v long")
 
 
 def _similar(pairs: DataFrame, found: DataFrame, marked: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
-    """Those of the pairs ``u, v`` whose whole sets are similar."""
+    """Those of the distinct pairs ``u, v`` whose whole sets are similar."""
     p, q = similar
-    pairs = common.cut(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    pairs = common.cut(pairs)
     need = pairs.select(F.col("u").alias("set")).union(pairs.select("v")).distinct()
-    marks = found.join(_narrow(need), "set").groupBy("set").agg(F.min("mark").alias("mark")).select("mark")
+    marks = found.select("set", "mark").join(_narrow(need), "set").groupBy("set").agg(F.min("mark").alias("mark")).select("mark")
     texts = marked.join(_narrow(marks.distinct()), "mark").select("mark", "text")
     whole = common.cut(wholes(texts, words).dropDuplicates(["set"]))
     both = pairs.join(whole.select(F.col("set").alias("u"), F.col("own").alias("a")), "u")
     both = both.join(whole.select(F.col("set").alias("v"), F.col("own").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return common.cut(both.where(shared * (p + q) >= p * (F.size("a") + F.size("b"))).select("u", "v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(x.as_buffer() or b"", np.int64), np.frombuffer(y.as_buffer() or b"", np.int64)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                mask.append(shared * (p + q) >= p * (len(a) + len(b)))
+            yield batch.select([0, 1]).filter(pa.array(mask, pa.bool_()))
+
+    return common.cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+
+
+def _with_bitmaps(pairs: DataFrame, info: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    rows = pairs.join(info.select(F.col("set").alias("u"), F.col("n"), F.col("bits").alias("a")), "u")
+    rows = rows.join(info.select(F.col("set").alias("v"), F.col("n").alias("m"), F.col("bits").alias("b")), "v")
+    return _bitmapped(rows, similar)
+
+
+def _apart(groups: DataFrame, roots: DataFrame, info: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Pairs within a group (``own``) that are in different components and may be similar by their bitmaps."""
+    common.ship(groups.sparkSession)
+    rows = groups.select(F.xxhash64("own").alias("group"), "own").dropDuplicates(["group"])
+    rows = rows.select("group", F.explode("own").alias("set")).join(roots, "set", "left")
+    rows = common.cut(rows.select("group", "set", F.coalesce("root", "set").alias("root")))
+    still = rows.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("group")
+    rows = common.cut(rows.join(still, "group").join(info, "set"))
+    sizes = rows.groupBy("group").agg(F.count("*").alias("sets"), F.sum(F.length("bits")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    rows = rows.join(sizes.select("group", blocks.alias("blocks")), "group")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    one = F.struct("set", "root", "n", "bits", "mine")
+    dealt = rows.groupBy("group", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")).agg(F.collect_list(one).alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, fits = Bitmaps(similar).near, Bitmaps(similar).fits
+        for batch in batches:
+            for a, b, own in zip(*(c.to_pylist() for c in batch.columns)):
+                own.sort(key=lambda x: x["n"])
+                u, v = [], []
+                for i, x in enumerate(own):
+                    for j in range(i + 1, len(own)):
+                        y = own[j]
+                        if not fits(x["n"], y["n"]):
+                            break
+                        if x["root"] != y["root"] and (a == b or x["mine"] != y["mine"]) and near(x["bits"], x["n"], y["bits"], y["n"]):
+                            u.append(x["set"])
+                            v.append(y["set"])
+                yield from packed.pairs(np.array(u, np.int64), np.array(v, np.int64))
+
+    return dealt.select("a", "b", "own").mapInArrow(run, packed.MET).select("u", "v").distinct()
 
 
 def groups(found: DataFrame, marked: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """``set, root`` of every set that has a similar one; root is the least of its component."""
-    first = found.select("set", "n", F.explode("first").alias("word"))
-    met = first.groupBy("word").agg(
-        F.min("set").alias("least"), F.max("set").alias("most"), F.min_by("n", "set").alias("n1"), F.max_by("n", "set").alias("n2")
-    )
-    own = common.cut(first.join(_narrow(met.where("least <> most")), "word").distinct())
-    ends = F.array(F.struct(F.col("least").alias("v"), F.col("n1").alias("m")), F.struct(F.col("most").alias("v"), F.col("n2").alias("m")))
-    star = own.select(F.col("set").alias("u"), "n", F.inline(ends)).where(_fits(F.col("n"), F.col("m"), similar))
-    edges = _similar(star, found, marked, words, similar)
+    info = common.cut(found.where("bits is not null").select("set", "n", "bits").dropDuplicates(["set"]))
+    # by fingerprints: equal ones, and those that deletion variants link
+    prints = common.cut(found.groupBy("fp").agg(F.min("set").alias("least")))
+    same = found.select("fp", "set").distinct().join(prints, "fp").where("set <> least").select(F.col("set").alias("u"), F.col("least").alias("v"))
+    linked = simhash.links(prints.select("fp"))
+    linked = linked.join(prints.select(F.col("fp").alias("u"), F.col("least").alias("x")), "u")
+    linked = linked.join(prints.select(F.col("fp").alias("v"), F.col("least").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    # by first shingles
+    met = shared_first(found, similar)
+    star = met.where("u is not null").select("u", "v").unionByName(same).unionByName(linked)
+    edges = _similar(_with_bitmaps(star, info, similar), found, marked, words, similar)
     roots = components(edges).withColumnRenamed("node", "set")
-    left = common.cut(own.select("word", "set", "n").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
-    mixed = left.groupBy("word").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("word")
-    left = common.cut(left.join(mixed, "word"))
-    a, b = left.alias("a"), left.alias("b")
-    pairs = a.join(
-        b,
-        (F.col("a.word") == F.col("b.word"))
-        & (F.col("a.set") < F.col("b.set"))
-        & (F.col("a.root") != F.col("b.root"))
-        & _fits(F.col("a.n"), F.col("b.n"), similar),
-    ).select(F.col("a.set").alias("u"), F.col("b.set").alias("v"))
-    edges = edges.unionByName(_similar(pairs, found, marked, words, similar))
-    return components(edges).withColumnRenamed("node", "set")
+    more = _similar(_apart(met.where("own is not null").select("own"), roots, info, similar), found, marked, words, similar)
+    return components(edges.unionByName(more)).withColumnRenamed("node", "set")
 
 
 def one_of_each(
@@ -165,19 +305,28 @@ def one_of_each(
 
     Two texts are linked if the Jaccard similarity of their distinct word shingles is ``similar`` or more;
     texts without words, null and empty ones too, are copies of one another. The row with the least id stays
-    (no id comes last), of these one by a hash of the text. Ids need not be unique.
+    (no id comes last), of these one by a hash of the text, and of equal ones the first by a hash of all columns.
+    Ids need not be unique; columns may have any names. An empty table gives no rows.
     """
     marked = _marked(docs, doc_id, text)
     found = common.cut(sets(marked, words, similar))
     rows = found.select("doc_id", "mark", "set").join(groups(found, marked, words, similar), "set", "left")
-    rows = rows.groupBy(F.coalesce("root", "set").alias("root"))
-    stay = rows.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x"))
-    # keys that are never null, so that join and ranking share one shuffle of the texts
-    key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    stay = stay.select(key(F.col("x.doc_id")).alias("__stay"), F.col("x.mark").alias("__own")).distinct()
-    mark = F.xxhash64(F.col(f"`{text}`").cast("string"))
-    keyed = docs.withColumn("__key", key(F.col(f"`{doc_id}`"))).withColumn("__mark", mark)
-    kept = keyed.join(stay, (F.col("__key") == F.col("__stay")) & (F.col("__mark") == F.col("__own")))
-    order = Window.partitionBy("__key", "__mark").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = kept.withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = common.cut(rows.select(F.coalesce("root", "set").alias("root"), "doc_id", "mark"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    stay = rows.groupBy("root").agg(first.alias("x")).select("x.doc_id", "x.mark")
+    # how often each id and text occurs, and whether it stays
+    times = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("times")).alias("t")
+    same = lambda a, b, c, d: a.eqNullSafe(b) & c.eqNullSafe(d)
+    kept = times.join(stay.alias("s"), same(F.col("t.doc_id"), F.col("s.doc_id"), F.col("t.mark"), F.col("s.mark")), "left")
+    said = common.cut(kept.select("t.doc_id", "t.mark", "times", F.col("s.mark").isNotNull().alias("stays")))
+    # what goes, and what stays but occurs repeatedly, is little beside all texts, which so need no shuffle
+    other = _narrow(said.where("NOT stays OR times > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__own"), F.col("stays").alias("__stays")))
+    keyed = docs.withColumn("__mark", F.xxhash64(F.col(f"`{text}`").cast("string")))
+    this = same(F.col(f"`{doc_id}`").cast("long"), F.col("__id"), F.col("__mark"), F.col("__own"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = keyed.join(other, this, "left_anti").select(*columns)
+    if said.where("stays AND times > 1").isEmpty():
+        return once
+    order = Window.partitionBy("__id", "__own").orderBy(F.xxhash64(*columns))
+    again = keyed.join(other.where("__stays"), this).withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
+    return once.unionByName(again.select(*columns))

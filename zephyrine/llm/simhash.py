@@ -3,11 +3,12 @@
 Fingerprints that differ in at most ``bits`` bits are cut into so few segments that in one of them
 (or in one choice of ``take`` of them together) they differ in one bit at most. Every choice is
 indexed with each of its bits wiped in turn, a one-wildcard variant; two fingerprints with at most one
-differing bit there share a variant. An equality join on variants gives candidates, and the join's
-condition verifies the full distance.
+differing bit there share a variant. An equality join on variants (:mod:`packed`) gives candidates, whose
+full distance is verified where they meet.
 
-A variant that many fingerprints share is dealt in blocks: each pair of blocks is one task's work and
-gives a spanning forest of its links, so that a crowd of near copies yields no list of all its pairs.
+Of a variant that many fingerprints share, only a spanning forest of links is made; one that very many
+share is dealt in blocks, where each pair of blocks is one task's work. So a crowd of near copies yields no
+list of all its pairs.
 """
 
 from __future__ import annotations
@@ -17,46 +18,61 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zephyrine.llm import common
+from zephyrine.llm import common, packed
 from zephyrine.llm.components import components
 
 BITS, SHINGLE, SEGMENTS, TAKE = 4, 4, 3, 1
-#: Fingerprints that may share a variant and still be paired by the join.
+#: Fingerprints that may share a variant and still all be paired.
 CROWD = 24
-#: Fingerprints in a block of a crowded variant.
+#: Fingerprints in a block of a crowded variant, and of those that one task links at once.
 BLOCK = 2048
+#: Parts into which a large component's rows are dealt.
+SALTS = 16
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
-def simhash(text: str, shingle: int = SHINGLE) -> int:
-    """The 64 majority bits of the hashes of all word shingles, repeats included; signed."""
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included; fewer words are one shingle, none give none."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(b" ".join(words), 42)]
-    else:
-        joined = memoryview(b" ".join(words))
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(size + 1) - 1
-        begins = (ends - size)[: len(words) - shingle + 1].tolist()
-        hashes = [digest(joined[a:b], 42) for a, b in zip(begins, ends[shingle - 1 :].tolist())]
+        return np.array([digest(b" ".join(words), 42)], np.uint64)
+    joined = memoryview(b" ".join(words))
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size + 1) - 1
+    begins = (ends - size)[: len(words) - shingle + 1].tolist()
+    return np.array([digest(joined[a:b], 42) for a, b in zip(begins, ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; signed. Zero for none."""
     n = len(hashes)
-    packed = np.array(hashes, dtype=">u8").view(np.uint8).reshape(n, 8)
+    if not n:
+        return 0
+    rows = hashes.astype(">u8").view(np.uint8).reshape(n, 8)
     count = np.zeros(64, np.int64)
     for lo in range(0, n, 1 << 16):
-        count += np.unpackbits(packed[lo : lo + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+        count += np.unpackbits(rows[lo : lo + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
     out = int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
     return out - (1 << 64) if out >> 63 else out
 
 
+def tokens(text: str) -> list[bytes]:
+    """Words between ASCII white space, with A-Z in lower case."""
+    return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+def simhash(text: str, shingle: int = SHINGLE) -> int:
+    """The 64 majority bits of the hashes of all word shingles, repeats included; signed."""
+    return majority(shingle_hashes(tokens(text), shingle))
+
+
 PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
 
 
@@ -86,22 +102,6 @@ def signatures(bits: int = BITS, segments: int = SEGMENTS, take: int = TAKE) ->
     return [(m, i) for i, m in enumerate(out)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def variants(prints: DataFrame, bits: int, segments: int, take: int) -> DataFrame:
-    """``fp, tag, key``: one row per fingerprint and one-wildcard variant."""
-    masks = signatures(bits, segments, take)
-    every = F.array(*[F.struct(F.lit(i).cast("short").alias("tag"), F.lit(_signed(m)).alias("mask")) for m, i in masks])
-    out = prints.select("fp", F.inline(every))
-    return out.select("fp", "tag", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-
-
-def _distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def _forest(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
     """Links that connect what is at most ``bits`` apart between two blocks (or within one).
 
@@ -125,9 +125,7 @@ def _forest(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[list[int],
             rest = np.flatnonzero(free[lo:hi]) + lo
             if not len(rest):
                 continue
-            x = both[rest] ^ both[at]
-            far = ONES[x & 0xFFFF] + ONES[(x >> 16) & 0xFFFF] + ONES[(x >> 32) & 0xFFFF] + ONES[(x >> 48) & 0xFFFF]
-            near = rest[far <= bits]
+            near = rest[np.bitwise_count(both[rest] ^ both[at]) <= bits]
             free[near] = False
             found = near.tolist()
             # all links of a tree go to its start, so that trees are stars
@@ -140,33 +138,23 @@ def _forest(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[list[int],
 EDGES = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
-def _crowded(rows: DataFrame, bits: int, block: int) -> DataFrame:
-    """Spanning links of variants that many fingerprints share. ``rows``: fp, tag, key, n."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
+def _crowded(groups: DataFrame, bits: int, block: int) -> DataFrame:
+    """Spanning links of very large groups (column ``own``), each pair of blocks of a group by itself."""
+    blocks = F.ceil(F.size("own") / block).cast("int")
+    rows = groups.select(F.xxhash64("own").alias("key"), blocks.alias("blocks"), F.explode("own").alias("fp"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = (
-        rows.withColumn("blocks", blocks)
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select(
-            "tag",
-            "key",
-            "fp",
-            "mine",
-            F.least("mine", "other").alias("a"),
-            F.greatest("mine", "other").alias("b"),
-        )
-    )
+    dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("key", "fp", "mine", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
 
     def link(key, part):
         fp = part.column("fp").to_numpy().view(np.uint64)
         mine = part.column("mine").to_numpy()
-        a, b = key[2].as_py(), key[3].as_py()
+        a, b = key[1].as_py(), key[2].as_py()
         left = fp[mine == a]
         u, v = _forest(left, left if a == b else fp[mine == b], bits)
         return pa.table({"u": np.array(u, np.uint64).view(np.int64), "v": np.array(v, np.uint64).view(np.int64)})
 
-    return dealt.groupBy("tag", "key", "a", "b").applyInArrow(link, EDGES)
+    return dealt.groupBy("key", "a", "b").applyInArrow(link, EDGES)
 
 
 def links(
@@ -177,24 +165,42 @@ def links(
     All links are found where few share a variant; where more than ``crowd`` do, links that connect
     the same fingerprints (all of them truly within ``bits`` steps of one another) stand for them.
     """
-    common.ship(prints.sparkSession)
-    every = variants(prints, bits, segments, take)
-    # of two that share a variant, the least and the greatest are the pair
-    met = every.groupBy("tag", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"))
-    met = common.cut(met.where((F.col("n") > 2) | (F.col("n") == 2) & (_distance(F.col("u"), F.col("v")) <= bits)))
-    twos = met.where("n = 2").select("u", "v")
-    few = met.where((F.col("n") > 2) & (F.col("n") <= crowd)).select("tag", "key")
-    many = met.where(F.col("n") > crowd).select("tag", "key", "n")
-    own = common.cut(every.join(few, ["tag", "key"]).select("tag", "key", "fp"))
-    a, b = own.alias("a"), own.alias("b")
-    pairs = a.join(
-        b,
-        (F.col("a.tag") == F.col("b.tag"))
-        & (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.fp") < F.col("b.fp"))
-        & (_distance(F.col("a.fp"), F.col("b.fp")) <= bits),
-    ).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    return twos.unionByName(pairs).unionByName(_crowded(every.join(many, ["tag", "key"]), bits, block))
+    masks = np.array([m for m, _ in signatures(bits, segments, take)], np.uint64)
+    # what tells the variants of one mask from another's
+    tags = packed.mixed(np.arange(1, len(masks) + 1))
+    parts = packed.parts_for(prints, prints.count() * len(masks))
+
+    def make():
+        def step(batch):
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            keys = packed.mixed((fp[:, None] & masks) ^ tags).ravel()
+            return keys, np.repeat(fp.view(np.int64), len(masks)), np.zeros(len(keys), np.uint8)
+
+        return step
+
+    def handle(value, size, starts, counts):
+        fp = value.view(np.uint64)
+        u, v = [], []
+        for n in np.unique(counts[counts <= crowd]).tolist():
+            own = fp[starts[counts == n][:, None] + np.arange(n)]
+            for i, j in combinations(range(n), 2):
+                near = np.bitwise_count(own[:, i] ^ own[:, j]) <= bits
+                u.append(own[near, i])
+                v.append(own[near, j])
+        large = (counts > crowd) & (counts <= block)
+        for at, n in zip(starts[large].tolist(), counts[large].tolist()):
+            own = fp[at : at + n]
+            a, b = _forest(own, own, bits)
+            u.append(np.array(a, np.uint64))
+            v.append(np.array(b, np.uint64))
+        if u:
+            yield from packed.pairs(np.concatenate(u).view(np.int64), np.concatenate(v).view(np.int64))
+        yield from packed.lists(value, starts[counts > max(crowd, block)], counts[counts > max(crowd, block)])
+
+    # fingerprints are few bytes each, but have many variants
+    spread = prints.select("fp").repartition(parts, "fp")
+    met = common.cut(packed.meet(packed.deal(spread, make, parts), handle))
+    return met.where("u is not null").select("u", "v").unionByName(_crowded(met.where("own is not null"), bits, block))
 
 
 def near_duplicates(
@@ -216,25 +222,11 @@ def near_duplicates(
     prints = common.cut(fingerprints(docs, shingle, doc_id, text))
     distinct = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp"), bits, segments, take))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
+    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "root")
+    single = named.where("root is null").select("fp", F.col("least").alias("component_id"))
+    # a component may hold a large share of all, so its rows are dealt to several parts
+    linked = named.where("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    classes = single.unionByName(linked.join(least, ["root", "salt"]).select("fp", "component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one of each component.
-
-    It is the row whose id names the component. Where several rows have that id, the least by text
-    stays; rows without an id that no other row's id names count as one component.
-    """
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **how)
-    # a key that is never null, so that join and ranking share one shuffle of the texts
-    key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id")).alias("__stay")).distinct()
-    rows = docs.withColumn("__key", key(F.col(f"`{doc_id}`"))).join(stay, F.col("__key") == F.col("__stay"))
-    order = Window.partitionBy("__key").orderBy(F.col(f"`{text}`"))
-    rows = rows.withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
