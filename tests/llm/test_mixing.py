@@ -1,37 +1,41 @@
+import math
 import random
+from fractions import Fraction
 
 import pytest
 
 from zephyrine.llm import mixing
 
 
-def test_quotas_and_deadlines():
+def test_deviation_and_deadlines():
+    """Within the first phase, each source is less than a block from its share at every slot."""
     rng = random.Random(3)
-    for _ in range(200):
+    for _ in range(100):
         weights = {str(i): rng.random() ** 3 + 1e-4 for i in range(rng.randint(1, 12))}
-        quota = mixing.quotas(weights, rng.choice([5, 60, 400]))
-        period = sum(quota.values())
-        slots = mixing.one_period(quota)
-        assert sorted(x for own in slots.values() for x in own) == list(range(period))
-        for s, own in slots.items():
-            for j, x in enumerate(own):
-                assert j * period // quota[s] <= x < -(-(j + 1) * period // quota[s])
-            for t in range(period + 1):  # never a block or more from the share
-                assert abs(sum(x < t for x in own) - t * quota[s] / period) < 1
-
-
-def by_hand(rows, weights, block, period):
-    """Order of (source, rank), a slot at a time."""
+        rows = {s: rng.randint(1, 200) for s in weights}
+        found = mixing.exact_slots(rows, weights, 1)
+        assert sorted(x for own in found.values() for x in own[0].tolist()) == list(range(sum(rows.values())))
+        end = min(int(own[0][-1]) for own in found.values())
+        total = sum(map(Fraction, weights.values()))
+        for s, own in found.items():
+            share = Fraction(weights[s]) / total
+            for t in range(end + 2):
+                assert abs(sum(x < t for x in own[0].tolist()) - t * share) < 1
+            assert (own[1] <= own[0]).all() and (own[0] < own[2]).all()
+
+
+def by_hand(rows, weights, block):
+    """Order of (source, rank), a slot at a time, by exact fractions."""
     left = {s: -(-n // block) for s, n in rows.items() if n}
     taken = dict.fromkeys(left, 0)
     out = []
     while left:
-        quota = mixing.quotas({s: weights[s] for s in left}, period)
-        size = sum(quota.values())
+        total = sum(Fraction(weights[s]) for s in left)
+        share = {s: Fraction(weights[s]) / total for s in left}
         placed = dict.fromkeys(left, 0)
         t, over = 0, None
         while over is None:
-            ready = [(-(-(placed[s] + 1) * size // quota[s]), s) for s in left if placed[s] * size // quota[s] <= t]
+            ready = [(math.ceil((placed[s] + 1) / share[s]), s) for s in left if math.floor(placed[s] / share[s]) <= t]
             s = min(ready)[1]
             first = taken[s] * block
             out += [(s, r) for r in range(first, min(first + block, rows[s]))]
@@ -45,15 +49,23 @@ def by_hand(rows, weights, block, period):
     return out
 
 
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST", 10)
+    monkeypatch.setattr(mixing, "BROADCAST", 5)
+    got = mixing.schedule(spark.range(1000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'a', 'b') AS source")).collect()
+    assert sorted(r.position for r in got) == list(range(1000))
+    assert max(r.place for r in got) == 99 and max(r.slot for r in got) == 10
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_schedule(spark, seed):
     rng = random.Random(seed)
     rows = {s: rng.randint(0, 120) for s in "abcd"} | {None: 17}
     data = [(i, s) for i, s in enumerate(s for s, n in rows.items() for _ in range(n))]
     weights = {"a": 5.0, "b": 1.0, "c": 0.5, "d": 2.5, None: 1.0}
-    got = mixing.schedule(spark.createDataFrame(data, "doc_id long, source string"), weights, block=4, period=20).collect()
+    got = mixing.schedule(spark.createDataFrame(data, "doc_id long, source string"), weights, block=4).collect()
     named = {("n" if s is None else f"s{s}"): n for s, n in rows.items()}
-    want = by_hand(named, {("n" if s is None else f"s{s}"): w for s, w in weights.items()}, 4, 20)
+    want = by_hand(named, {("n" if s is None else f"s{s}"): w for s, w in weights.items()}, 4)
     order = sorted(got, key=lambda r: r.position)
     assert [r.position for r in order] == list(range(len(data)))
     assert [(("n" if r.source is None else f"s{r.source}"), r.block * 4 + r.place) for r in order] == want
@@ -96,7 +108,7 @@ def test_given_weights_over_many_slots():
     assert all((own[1] <= own[0]).all() and (own[0] < own[2]).all() for own in found.values())
 
 
-def test_default_schedule_has_no_period(spark):
+def test_small_weights(spark):
     """A source that weighs under 1 / 4000 is not placed more often than its weight says."""
     data = [(i, "rare" if i < 20 else "often") for i in range(20_000)]
     got = mixing.schedule(spark.createDataFrame(data, "doc_id long, source string"), {"rare": 1e-4, "often": 1.0}, block=1).collect()

@@ -6,16 +6,15 @@ one block is placed per slot, the one due first among those released. As the wei
 deadlines are met, so no source is ever a block or more away from its share (Baruah et al., 1996).
 
 Weights are taken as they are, as whole numbers with a common denominator, and the driver works the slots
-out block by block. With a ``period`` they are rounded to whole multiples of ``1 / period`` instead: the
-schedule repeats after ``period`` slots, and the distance from the given weights grows with their number.
-When a source ends, the others' weights are scaled up and a new phase begins. Every row is placed exactly once.
+out block by block. When a source ends, the others' weights are scaled up and a new phase begins. Every row
+is placed exactly once. So that the driver's work is bounded, there are MOST blocks at most: where blocks of
+BLOCK rows would be more, blocks are larger.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -23,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents in a block.
-BLOCK = 32
+#: Documents in a block, at least, and blocks, at most (besides one more a source).
+BLOCK, MOST = 32, 1_000_000
 #: Blocks whose slots are broadcast, at most; beyond it they are joined by a shuffle.
-BROADCAST = 1_000_000
+BROADCAST = 200_000
 #: Exponent by which the sizes of sources become weights where no weights are given.
 ALPHA = 0.5
 #: Rows that ranking puts together at once, on average.
@@ -34,87 +33,6 @@ TOGETHER = 20_000
 SEED = 5
 
 
-def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Slots of each source in a period: whole, at least one, together ``period``; the remainders decide."""
-    period = max(period, len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    spare = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (out[s] - exact[s], s)):
-        if spare <= 0:
-            break
-        out[s] += 1
-        spare -= 1
-    while spare < 0:
-        s = max(out, key=lambda s: (out[s] - exact[s] if out[s] > 1 else -math.inf, s))
-        out[s] -= 1
-        spare += 1
-    return out
-
-
-def one_period(quota: dict[str, int]) -> dict[str, list[int]]:
-    """The slots that each source gets in a period, by earliest deadline first."""
-    period = sum(quota.values())
-    out: dict[str, list[int]] = {s: [] for s in quota}
-    ready: list[tuple[int, str]] = []
-    later: list[tuple[int, int, str]] = [(0, -(-period // q), s) for s, q in quota.items()]
-    heapq.heapify(later)
-    for slot in range(period):
-        while later and later[0][0] <= slot:
-            _, due, s = heapq.heappop(later)
-            heapq.heappush(ready, (due, s))
-        _, s = heapq.heappop(ready)
-        out[s].append(slot)
-        j, q = len(out[s]), quota[s]
-        if j < q:
-            heapq.heappush(later, (j * period // q, -(-(j + 1) * period // q), s))
-    return out
-
-
-@dataclass
-class Phase:
-    """From ``begin`` (in slots) on, ``quota`` holds; a source's blocks ``first[s]`` to ``last[s]`` are placed."""
-
-    begin: int
-    base: int
-    period: int
-    quota: dict[str, int]
-    slots: dict[str, list[int]]
-    first: dict[str, int]
-    last: dict[str, int]
-
-
-def plan(rows: dict[str, int], weights: dict[str, float], block: int, period: int) -> list[Phase]:
-    """The phases that place all ``rows`` of each source. ``weights`` must be positive for each source."""
-    left = {s: -(-n // block) for s, n in rows.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    begin = base = 0
-    out: list[Phase] = []
-    while left:
-        quota = quotas({s: weights[s] for s in left}, period)
-        slots = one_period(quota)
-        size = sum(quota.values())
-        ends = {s: (n - 1) // quota[s] * size + slots[s][(n - 1) % quota[s]] for s, n in left.items()}
-        first_out = min(ends, key=lambda s: ends[s])
-        span = ends[first_out] + 1
-        whole, rest = divmod(span, size)
-        placed = {s: whole * quota[s] + sum(x < rest for x in slots[s]) for s in left}
-        out.append(Phase(begin, base, size, quota, slots, dict(done), {s: done[s] + n for s, n in placed.items()}))
-        begin += span
-        done = {s: done[s] + n for s, n in placed.items()}
-        base = begin * block
-        left = {s: n - placed[s] for s, n in left.items() if n > placed[s]}
-        done = {s: n for s, n in done.items() if s in left}
-    # the last block of a source that ends may be short: later phases begin earlier by what it lacks
-    lacking = 0
-    for i, phase in enumerate(out):
-        phase.base -= lacking
-        after = set(out[i + 1].quota) if i + 1 < len(out) else set()
-        lacking += sum(phase.last[s] * block - rows[s] for s in phase.quota if s not in after)
-    return out
-
-
 def exact_slots(rows: dict[str, int], weights: dict[str, float], block: int = BLOCK) -> dict[str, np.ndarray]:
     """Of each source's blocks: slot, release, deadline and the position of the first row, a row of an array each.
 
@@ -162,8 +80,7 @@ def _key(source: str):
 def schedule(
     docs: DataFrame,
     weights: dict[str | None, float] | None = None,
-    block: int = BLOCK,
-    period: int | None = None,
+    block: int | None = None,
     alpha: float = ALPHA,
     seed: int = SEED,
     doc_id: str = "doc_id",
@@ -176,16 +93,18 @@ def schedule(
     ``position`` counts all rows from zero in the order of the mixture; ``release`` and ``deadline`` are
     slots too. ``weights`` are by source (None: the source is null); a source that they lack, or all if
     they are not given, weighs its number of rows to the power ``alpha``, scaled to the given ones' mean.
-    With a ``period`` weights are rounded to multiples of its inverse.
-    Weights that are zero or less are an error, since rows are neither dropped nor repeated. A null source
-    is a source of its own. Rows of one source with the same id follow one another by ``ties``, else in
-    any order. An empty table gives no rows.
+    Weights that are zero or less are an error, since rows are neither dropped nor repeated. ``block`` is the
+    number of rows of a block, by default BLOCK or as many as keep blocks to MOST. A null source is a source of
+    its own. A source's rows are in the order of a hash of the id and the columns ``ties``; rows that are equal
+    there are in any order. An empty table gives no rows.
     """
     p = lambda name: f"{prefix}{name}"
     key, fine, rank = p("__key"), p("__fine"), p("__rank")
-    hashed = F.xxhash64(F.col(f"`{doc_id}`"), F.lit(seed))
+    tied = [F.col(f"`{t}`") for t in ties]
+    hashed = F.xxhash64(F.col(f"`{doc_id}`"), *tied, F.lit(seed))
     sized = docs.select(_key(f"`{source}`").alias(key)).groupBy(key).agg(F.count("*").alias("n"))
     rows = {r[key]: r["n"] for r in sized.collect()}
+    block = block or max(BLOCK, -(-sum(rows.values()) // MOST))
     wanted = {("n" if s is None else f"s{s}"): w for s, w in (weights or {}).items()}
     if any(w <= 0 for w in wanted.values()):
         raise ValueError("weights must be positive")
@@ -204,7 +123,7 @@ def schedule(
     counted = keyed.groupBy(key, fine).agg(F.count("*").alias("n"))
     before = Window.partitionBy(key).orderBy(fine).rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select(key, fine, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(p("__start")))
-    order = Window.partitionBy(key, fine).orderBy(hashed, F.col(f"`{doc_id}`"), *[F.col(f"`{t}`") for t in ties])
+    order = Window.partitionBy(key, fine).orderBy(hashed, F.col(f"`{doc_id}`"), *tied)
     ranked = keyed.join(F.broadcast(starts) if len(rows) * ranges <= 100_000 else starts, [key, fine])
     ranked = ranked.withColumn(rank, F.row_number().over(order) - 1 + F.col(p("__start")))
     ranked = ranked.withColumn(p("block"), F.floor(F.col(rank) / block)).withColumn(p("place"), F.col(rank) % block)
@@ -212,43 +131,17 @@ def schedule(
     spark = docs.sparkSession
     results = ("slot", "position", "release", "deadline")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in {p(x) for x in ("block", "place", *results)}]
-    if period is None:
-        found = exact_slots(rows, shares, block)
-        names = [key, p("block"), p("slot"), p("release"), p("deadline"), p("__at")]
-        sizes = [x.shape[1] for x in found.values()]
-        parts = [np.arange(n) for n in sizes], *([x[i] for x in found.values()] for i in range(4))
-        flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in parts]
-        of = pa.array(list(found), pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64()))
-        table = spark.createDataFrame(pa.table([of, *(pa.array(x) for x in flat)], names=names))
-        ranked = ranked.select(*kept, key, p("block"), p("place"))
-        out = ranked.join(F.broadcast(table) if sum(sizes) <= BROADCAST else table, [key, p("block")])
-        made = {x: F.col(p(x)) for x in results} | {"position": F.col(p("__at")) + F.col(p("place"))}
-        return out.select(*kept, p("block"), p("place"), *[made[x].cast("long").alias(p(x)) for x in results])
-
-    # the schedule: a row for each source, phase and turn in its period; at most sources x period x phases
-    phases = plan(rows, shares, block, period)
-    turns, at = [], p("__phase")
-    for i, f in enumerate(phases):
-        for s, slots in f.slots.items():
-            used = min(len(slots), f.last[s] - f.first[s])
-            turns += [(s, i, k, x) for k, x in enumerate(slots[:used])]
-    spans = [(s, i, f.first[s], f.last[s], f.quota[s], f.period, f.begin, f.base) for i, f in enumerate(phases) for s in f.quota]
-    names = [p(x) for x in ("__first", "__last", "__quota", "__period", "__begin", "__base")]
-    span = spark.createDataFrame(spans, f"`{key}` string, `{at}` int, " + ", ".join(f"`{x}` long" for x in names))
-    turn = spark.createDataFrame(turns, f"`{key}` string, `{at}` int, `{p('__turn')}` long, `{p('__slot')}` long")
-    first, last, quota, size, begin, base = (F.col(x) for x in names)
-    j = F.col(p("block"))
-    b = F.broadcast(span.withColumnRenamed(key, p("__key2")))
-    out = ranked.join(b, (F.col(key) == F.col(p("__key2"))) & (j >= first) & (j < last)).drop(p("__key2"))
-    out = out.withColumn(p("__turn"), (j - first) % quota).join(F.broadcast(turn), [key, at, p("__turn")])
-    within = F.floor((j - first) / quota) * size + F.col(p("__slot"))
-    made = {
-        p("slot"): begin + within,
-        p("position"): base + within * block + F.col(p("place")),
-        p("release"): begin + F.floor((j - first) * size / quota),
-        p("deadline"): begin + F.ceil((j - first + 1) * size / quota),
-    }
-    return out.select(*kept, p("block"), p("place"), *[x.cast("long").alias(n) for n, x in made.items()])
+    found = exact_slots(rows, shares, block)
+    names = [key, p("block"), p("slot"), p("release"), p("deadline"), p("__at")]
+    sizes = [x.shape[1] for x in found.values()]
+    parts = [np.arange(n) for n in sizes], *([x[i] for x in found.values()] for i in range(4))
+    flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in parts]
+    of = pa.array(list(found), pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64()))
+    table = spark.createDataFrame(pa.table([of, *(pa.array(x) for x in flat)], names=names))
+    ranked = ranked.select(*kept, key, p("block"), p("place"))
+    out = ranked.join(F.broadcast(table) if sum(sizes) <= BROADCAST else table, [key, p("block")])
+    made = {x: F.col(p(x)) for x in results} | {"position": F.col(p("__at")) + F.col(p("place"))}
+    return out.select(*kept, p("block"), p("place"), *[made[x].cast("long").alias(p(x)) for x in results])
 
 
 def mix(docs: DataFrame, partitions: int | None = None, **how) -> DataFrame:
