@@ -55,6 +55,58 @@ def test_template_without_semantic_names(spark):
         assert got[i] == re.sub(r"(<[^>]*>)+", " ", want).strip()
 
 
+def nameless(i):
+    """A page without telling names: in the article's own element stand texts of the host, and beside it
+    an element whose text is new on every page and, on this one, longer than the article."""
+    body = [f"text {i} number {j} with words of its own {i * j + j}" for j in range(3 + i % 4 * (i != 5))]
+    other = " ".join(f"other{i}x{j}" for j in range(30 if i == 5 else 3))
+    shared = "<div>Tell your friends about this story</div>", "<div>More from this place every day</div>"
+    links = "".join(f"<li><a href={j}>link {j}</a></li>" for j in range(5))
+    source = f"<html><body><div><ul>{links}</ul></div><div><div>{shared[0]}{''.join(f'<p>{x}</p>' for x in body)}{shared[1]}</div><div>{other}</div></div><div>foot</div></body></html>"
+    return source, " ".join(body)
+
+
+def test_template_tells_slots_from_the_hosts_text(spark):
+    """By the template alone: a page by itself gives other text."""
+    rows = [(i, f"http://h.example/{i}", nameless(i)[0]) for i in range(12)]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: nameless(i)[1] for i in range(12)}
+    assert all(main(nameless(i)[0]) != nameless(i)[1] for i in range(12))
+
+
+def test_copies_keep_their_text(spark):
+    """Where all pages of a host are the same, their text is not the template's."""
+    source, want = nameless(3)
+    source, want = source.replace("<div>Tell your friends about this story</div>", ""), want + " More from this place every day"
+    rows = [(i, "http://h.example/", source) for i in range(8)]
+    got = htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(want in r.text for r in got)
+
+
+def test_nested_classes():
+    """Classes by equal counts on every page and by what encloses them; a lone token is none."""
+    pages = [htmltext.Page(f"<div><ul>{'<li><a>x</a></li>' * n}</ul></div><div>{'<p>y</p>' * k}</div>") for n, k in ((2, 3), (3, 3), (4, 1))]
+    tokens = {}
+    for i, page in enumerate(pages):
+        for path, n in page.opened.items():
+            t = tokens.setdefault(path, [0, 0, 0])
+            t[0] += 1
+            t[1] += n
+            t[2] += hash((i, n))
+    rows = [(p, a, b, c, c, 0, 0, 0, "") for p, (a, b, c) in tokens.items()]
+    assert htmltext.nested(rows, 3) == {"/div", "/div/ul", "/div~2", "/div/ul/li", "/div/ul/li/a"}
+
+
+def test_long_attributes(spark):
+    """Whatever stands in an attribute is markup, however long; the last of very many elements keeps its text."""
+    data = "data:text/html,<p>no</p>" + "a>b" * 40_000
+    assert main(f"<article><p title=\"{data}\" lang='{data}'>yes</p></article>") == "yes"
+    assert main("<article>" + "<div class=x>a</div>" * 300 + "</article>") == " ".join("a" * 300)
+    names = " ".join(f"n{i}" for i in range(60))
+    assert main(f"<article><div class='{names} one'>a</div><div class='{names} two'>b</div></article>") == "a b"
+    assert main("<article><p title=\"never closed>text</p></article>") == "text"
+
+
 def plain(source):
     m = re.search(r"<article>(.*?)(</article>|\Z)", source or "", re.S)
     text = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)>", " ", m[1])) if m else ""

@@ -1,4 +1,8 @@
+import base64
 import gzip
+import hashlib
+from email.parser import BytesParser
+from html.parser import HTMLParser
 
 from zephyrine.llm import warc
 
@@ -67,7 +71,7 @@ def test_odd_records(spark):
     both = warc.response(1, "http://a/", "x", warc.DATE) * 2
     df = spark.createDataFrame([(1, None), (2, b""), (3, b"junk"), (4, both)], "page_id long, record binary")
     got = warc.derivatives(df).collect()
-    assert [r.page_id for r in got] == [4] * 4
+    assert sorted((r.page_id, r.record_type, r.content_length if r.record_type == 'unreadable' else 0) for r in got) == [(3, 'unreadable', 4), *[(4, 'conversion', 0)] * 2, *[(4, 'metadata', 0)] * 2]
     assert warc.derivatives(df.limit(0)).count() == 0
 
 
@@ -76,5 +80,82 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"".join(records[:2]))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[2:]))
     got = warc.read_files(spark, f"{tmp_path}/*")
-    assert got.count() == 5
+    assert got.count() == 5 and got.agg({"skipped": "sum"}).first()[0] == 0
     assert warc.derivatives(got.selectExpr("1L AS page_id", "record")).count() == 10
+
+
+def test_goes_on_after_broken_records(spark, tmp_path):
+    good = [warc.response(i, f"http://a/{i}", f"<p>{i}", warc.DATE) for i in range(4)]
+    long = good[1].replace(b"Content-Length: ", b"Content-Length: 9", 1)
+    none = good[2].replace(b"Content-Length: ", b"Content-Size: ", 1)
+    for broken in (b"junk\r\n", long, none, good[1][:200] + b"\r\n", b"WARC/1.1\r\n", b"\x00" * 50 + b"\n"):
+        for size in (1, 7, 1 << 20):
+            data = good[0] + broken + good[3]
+            found = list(warc.records(iter([data[i : i + size] for i in range(0, len(data), size)])))
+            ids = [warc.value(x[0], "WARC-Target-URI") for x in found if not isinstance(x, int)]
+            assert ids == ["http://a/0", "http://a/3"], broken
+            assert abs(sum(x for x in found if isinstance(x, int)) - len(broken)) <= 4
+    members = [gzip.compress(r) for r in good]
+    members[1] = members[1][:30] + b"\xff\xff\xff" + members[1][33:]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    got = warc.read_files(spark, str(tmp_path)).collect()
+    assert sum(r.record is not None for r in got) == 3
+
+
+def test_late_character_set_and_long_links():
+    late = b"<!-- " + b"x" * 5000 + b" --><meta name=a " + b"y" * 300 + b" charset=latin-1>na\xefve"
+    assert warc.decoded([("Content-Type", "text/html")], late).endswith("naïve")
+    _, _, links = warc.plain(f"<a title='{'t' * 5000}>' href='/x?a=1&amp;b=2'>l</a><script>'<a href=no>'</script><a href=y>")
+    assert links == ["/x?a=1&b=2", "y"]
+
+
+class Reader(HTMLParser):
+    """Words outside of scripts and styles, title and links, by the standard library's parser."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.words, self.title, self.links, self.open = [], [], [], []
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title"):
+            self.open.append(tag)
+        self.links += [v for k, v in attrs if tag == "a" and k == "href"]
+
+    def handle_endtag(self, tag):
+        if self.open and tag == self.open[-1]:
+            self.open.pop()
+
+    def handle_data(self, data):
+        if not self.open:
+            self.words.append(data)
+        elif self.open[-1] == "title":
+            self.title.append(data)
+
+
+def test_against_other_parsers(spark, sf):
+    """Every record, read by the standard library's header and HTML parsers, holds what its page says."""
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = warc.derivatives(warc.responses(spark.read.parquet(f"{sf}/pages.parquet"))).collect()
+    assert len(got) == 2 * len(pages)
+    by = {}
+    for r in got:
+        version, _, rest = bytes(r.record).partition(b"\r\n")
+        head, _, body = rest.partition(b"\r\n\r\n")
+        headers = BytesParser().parsebytes(head)
+        body = body[: int(headers["Content-Length"])]
+        assert version == b"WARC/1.1" and rest.endswith(b"\r\n\r\n")
+        assert headers["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+        assert headers["WARC-Target-URI"] == pages[r.page_id].url
+        by[r.page_id, headers["WARC-Type"]] = headers, body
+    for i, page in pages.items():
+        (meta, fields), (text, body) = by[i, "metadata"], by[i, "conversion"]
+        assert meta["WARC-Refers-To"] == text["WARC-Refers-To"] and meta["WARC-Concurrent-To"] == text["WARC-Record-ID"]
+        read = Reader(page.html)
+        assert "".join(body.decode().split()) == "".join("".join(read.words).split())
+        said = [line.partition(": ")[::2] for line in fields.decode().split("\r\n") if line]
+        assert [v for k, v in said if k == "outlink"] == [" ".join(x.split()) for x in read.links]
+        assert [v for k, v in said if k == "title"] == [" ".join("".join(read.title).split())]
+        payload = page.html.encode()
+        assert dict(said)["source-payload-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()

@@ -1,11 +1,17 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-A page's tokens are its tags, told apart by the path of elements that they stand in. Tokens that occur
-equally often on each of a host's pages, page by page, form an equivalence class (Arasu and Garcia-Molina,
-"Extracting structured data from web pages", 2003). Classes with enough tokens and pages, whose elements
-lie in elements of the same or of an enclosing class, nest into the host's template; what is between its
-tokens are slots. The slot that holds the article is chosen once per host and extracted from each page,
-without what is a menu, a notice, a form or the like by its element or its name.
+A page's tokens are its tags and its blocks of text, told apart by the path of elements that they stand in.
+Tokens that occur equally often on each of a host's pages, page by page, form an equivalence class (Arasu and
+Garcia-Molina, "Extracting structured data from web pages", 2003). A class is valid with enough tokens and
+pages. Valid classes nest: a class belongs to the template if what encloses its elements, beyond its own, are
+elements of one class that belongs to it and is on every page that the inner one is on. Text in the template
+is the host's, not a page's; what else stands in the template's elements is in slots.
+
+The slot that holds the article is chosen once per host and extracted from each page, without what is a menu,
+a notice, a form or the like by its element or its name. Where an element says by its own name that it is the
+article, that decides, and all its text is kept, as articles may share passages. Elsewhere it is the innermost
+element that occurs once a page and whose slots hold most of the host's text outside of links; the template's
+text in it is left out.
 
 An occurrence vector is never written out: a class is known by the sum, over pages, of a hash of the page
 and the number of occurrences, so vectors of any length are compared by two numbers that add up in
@@ -34,8 +40,8 @@ BLOCK = frozenset(
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
     "search section select summary table tbody td template tfoot th thead title tr ul".split()
 )
-#: Elements without a meaning of their own, told apart by their order in the parent, up to a number.
-BOXES, ORDER = frozenset("div section table td".split()), 50
+#: Elements without a meaning of their own, told apart by their order in the parent.
+BOXES = frozenset("div section table td".split())
 #: Elements whose content is characters, not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that end an open element of one of the given names, where that end tag may be left out.
@@ -65,7 +71,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 CONTENT = frozenset("article content post entry story main text".split())
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]{0,50000}\"|=\s*'[^']{0,50000}'|[^>])*+)>?", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>?", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s]+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -77,7 +83,7 @@ PLAIN, WEAK, STRONG = 0, 1, 2
 class Tag:
     """What counts of one tag: name, the element's sign in a path, how it bears on its text, content hints."""
 
-    __slots__ = ("name", "sign", "beside", "content", "empty")
+    __slots__ = ("name", "sign", "beside", "content", "empty", "href")
 
     def __init__(self, name: str, rest: str):
         self.name = name
@@ -86,10 +92,12 @@ class Tag:
         if rest and not rest.isspace():
             for k, a, b, c in ATTRIBUTE.findall(rest):
                 own.setdefault(k.lower(), html.unescape(a or b or c))
+        self.href = own.get("href") if name == "a" else None
         names = f"{own.get('class', '')} {own.get('id', '')}"
         parts = {p.lower() for p in NAME_PART.findall(names)}
         role = own.get("role", "").lower()
-        self.sign = f"{name}.{'.'.join(sorted(own.get('class', '').lower().split()))[:80]}" if own.get("class") else name
+        classes = ".".join(sorted(own.get("class", "").lower().split()))
+        self.sign = f"{name}.{classes if len(classes) <= 80 else xxhash.xxh64_hexdigest(classes)}" if classes else name
         hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", own.get("style", ""))
         self.beside = PLAIN
         if name in APART or role in ROLES or parts & REPLIES or hidden:
@@ -156,7 +164,7 @@ class Page:
     """A page's tokens: how often each path of elements opens, and its texts with the paths they stand in.
 
     ``texts``: (path, is beside the article, is in a link, decoded text); a path of None is a block's edge.
-    ``hints``: path -> how much its element looks like the article's.
+    ``links``: what anchors refer to. ``hints``: path -> how much its element looks like the article's.
     ``above``: hash that stands for a long path -> path of that element's parent.
     """
 
@@ -164,6 +172,7 @@ class Page:
         self.opened: dict[str, int] = defaultdict(int)
         self.hints: dict[str, int] = {}
         self.above: dict[str, str] = {}
+        self.links: list[str] = []
         self.texts: list[tuple[str | None, bool, bool, str]] = []
         # open elements: name, path, state, in a link, inside an article
         stack: list[tuple[str, str, int, bool, bool]] = [("", "", PLAIN, False, False)]
@@ -198,6 +207,8 @@ class Page:
                 continue
             t = tag(name, m[3])
             name = t.name
+            if t.href:
+                self.links.append(t.href)
             if name in BLOCK:
                 add((None, False, False, ""))
             if name in VOID or t.empty:
@@ -220,7 +231,7 @@ class Page:
                 before = order[-1].get(t.sign, 0)
                 order[-1][t.sign] = before + 1
                 if before:
-                    path = f"{path}~{min(before + 1, ORDER)}"
+                    path = f"{path}~{before + 1}"
             if len(path) > 600:
                 path = f"~{xxhash.xxh64_hexdigest(path)}"
                 self.above[path] = stack[-1][1]
@@ -259,20 +270,51 @@ class Page:
                 out[path][link] += len(text) - text.count(" ")
         return out
 
+    def blocks(self) -> list[tuple[str, list[tuple[str, bool, str]]]]:
+        """Runs of text between blocks' edges: the token of each, and its pieces (path, beside, text)."""
+        out, run = [], []
+        for path, beside, _, text in [*self.texts, (None, False, False, "")]:
+            if path is not None:
+                run.append((path, beside, text))
+                continue
+            said = " ".join("".join([x[2] for x in run]).split()) if run else ""
+            if run:
+                out.append((text_token(run[0][0], said) if said else "", run))
+            run = []
+        return out
+
+    def said(self) -> dict[str, tuple[int, int]]:
+        """Token of a block of text -> how often it occurs, and its characters, all occurrences together."""
+        out: dict[str, tuple[int, int]] = {}
+        for token, run in self.blocks():
+            if token and not run[0][1]:
+                n, size = out.get(token, (0, 0))
+                out[token] = n + 1, size + sum(len(x[2]) - x[2].count(" ") for x in run)
+        return out
+
     def text(self, main: list[str]) -> str:
-        """The text in elements of the given paths, blocks joined by one space."""
-        if not main:
+        """The text in elements of the given paths, blocks joined by one space, without the given blocks."""
+        inside = [p for p in main if TEXT not in p]
+        if not inside:
             return ""
-        within = Within(main, self.above)
+        left_out = {p for p in main if TEXT in p}
+        within = Within(inside, self.above)
         parts = []
-        for path, beside, _, text in self.texts:
-            if path is None:
-                parts.append(" ")
-            elif not beside and within(path):
-                parts.append(text)
+        for token, run in self.blocks():
+            if token and token not in left_out:
+                parts += [text for path, beside, text in run if not beside and within(path)]
+            parts.append(" ")
         return " ".join("".join(parts).split())
 
 
+#: Parts an element's path from the hash of a text in it.
+TEXT = "\x01"
+
+
+def text_token(path: str, said: str) -> str:
+    return f"{path}{TEXT}{xxhash.xxh64_hexdigest(said)}"
+
+
 def host_of(url: str | None) -> str:
     """The host part of an address in lower case, without user and port; empty if there is none."""
     m = re.match(r"(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
@@ -282,24 +324,66 @@ def host_of(url: str | None) -> str:
 Token = tuple[str, int, int, int, int, int, int, int, str]  # path, pages, occurrences, d1, d2, own, linked, hint, above
 
 
-def choose(tokens: list[Token], pages: int) -> list[str]:
-    """Paths of the elements that hold the article, from a host's template.
+def nested(tokens: list[Token], pages: int) -> set[str]:
+    """The template: tokens of valid classes that nest.
 
-    Tokens with one digest are a class. It is valid with two tokens or more, seen on half of the pages or
-    more, and if every token's parent is in the template too. Of the template's elements that occur once
-    a page where they occur, the most article-like by name is taken; if none is, the innermost that holds
-    most of the text outside of links.
+    Tokens of equal occurrence vectors are one class where they are also enclosed by one class, beyond elements
+    of their own. It is valid with two tokens or more, seen on half of the pages or more, if the enclosing one
+    is valid and on as many pages or more.
     """
-    classes: dict[tuple, list[Token]] = defaultdict(list)
+    by = {t[0]: t for t in tokens}
+    class_of: dict[str, int] = {}
+    numbers: dict[tuple, int] = {}
+    around: list[int | None] = []  # of each class: the one that encloses it
+    size: list[int] = []
+    on: list[int] = []
+
+    def parent(t: Token) -> str:
+        return t[8] if t[8] else t[0].partition(TEXT)[0] if TEXT in t[0] else t[0].rpartition("/")[0]
+
     for t in tokens:
-        classes[t[1:5]].append(t)
-    valid = {t[0] for own in classes.values() if len(own) > 1 and 2 * own[0][1] >= pages for t in own}
-    # nested: a parent is in the same or an enclosing class
-    template = set()
-    for path in sorted(valid, key=len):
-        parent = path.rpartition("/")[0]
-        if not parent or parent in template or path.startswith("~"):
-            template.add(path)
+        chain = []
+        path = t[0]
+        while path in by and path not in class_of:
+            chain.append(path)
+            path = parent(by[path])
+        for p in reversed(chain):
+            up = parent(by[p])
+            outer = class_of.get(up)
+            if outer is not None and by[up][1:5] == by[p][1:5]:
+                class_of[p] = outer
+            else:
+                key = (by[p][1:5], outer)
+                if key not in numbers:
+                    numbers[key] = len(numbers)
+                    around.append(outer)
+                    size.append(0)
+                    on.append(by[p][1])
+                class_of[p] = numbers[key]
+            size[class_of[p]] += 1
+    # an enclosing class has a lower number than what it encloses
+    valid: list[bool] = []
+    for k, outer in enumerate(around):
+        valid.append(size[k] > 1 and 2 * on[k] >= pages and (outer is None or valid[outer] and on[outer] >= on[k]))
+    return {p for p, k in class_of.items() if valid[k]}
+
+
+#: Pages from which on a host tells its own text from its articles'.
+HOST = 4
+
+
+def choose(tokens: list[Token], pages: int) -> list[str]:
+    """Paths of the elements that hold the article, from a host's template, and the texts in them that are
+    the template's.
+
+    Of the template's elements that occur once a page where they occur, the most article-like by name is taken;
+    if none is, the innermost whose slots hold most of the text outside of links.
+    """
+    template = nested(tokens, pages)
+    same = sum(t[5] for t in tokens if TEXT in t[0] and 2 * t[1] >= pages)
+    texts = [t for t in tokens if TEXT in t[0] and t[0] in template]
+    tokens = [t for t in tokens if TEXT not in t[0]]
+    template = {p for p in template if TEXT not in p}
     by = {t[0]: t for t in tokens}
     above = {t[0]: t[8] for t in tokens if t[8]}
 
@@ -326,12 +410,23 @@ def choose(tokens: list[Token], pages: int) -> list[str]:
         if outer:
             return outer
     once = [p for p in template if by[p][1] == by[p][2]]
-    inside = {p: held(p)[1] for p in once}
     total = sum(t[5] for t in tokens)
     if not total:
         return []
-    most = [p for p in once if 10 * inside[p] >= 7 * total]
-    return [max(most, key=lambda p: (depth(p), p))] if most else [""]
+    # pages that are copies of one another have no slots: most of their text is the same
+    own = texts if pages >= HOST and 2 * same < total else []
+
+    def slots(path: str) -> int:
+        within = Within([path], above)
+        return held(path)[1] - sum(t[5] for t in own if within(t[0].partition(TEXT)[0]))
+
+    inside = {p: slots(p) for p in once}
+    most = [p for p in once if 10 * inside[p] >= 7 * (total - sum(t[5] for t in own))]
+    if not most:
+        return [""]
+    chosen = max(most, key=lambda p: (depth(p), p))
+    within = Within([chosen], above)
+    return [chosen, *sorted(t[0] for t in own if within(t[0].partition(TEXT)[0]))]
 
 
 def alone(page: Page) -> list[Token]:
@@ -384,6 +479,8 @@ def host_tokens(pages: DataFrame) -> DataFrame:
                 for path, n in page.opened.items():
                     a, b = sizes.get(path, (0, 0))
                     note((host, path), n, xxhash.xxh64_intdigest(f"{n}\n{seed}"), a + b, b, page.hints.get(path, 0), page.above.get(path, ""))
+                for token, (n, size) in page.said().items():
+                    note((host, token), n, xxhash.xxh64_intdigest(f"{n}\n{seed}"), size, 0, 0)
             if len(held) > HELD:
                 yield out()
                 held.clear()
@@ -401,7 +498,8 @@ def templates(pages: DataFrame) -> DataFrame:
     tokens = host_tokens(pages)
     size = tokens.where("path = ''").select(F.col("host").alias("of"), F.col("pages").alias("all"))
     many = tokens.where("path <> ''").join(size, F.col("host") == F.col("of"))
-    many = many.where((F.col("all") > 1) & (F.col("pages") * RARE >= F.col("all")))
+    least = F.when(F.contains("path", F.lit(TEXT)), 2).otherwise(RARE)
+    many = many.where((F.col("all") > 1) & (F.col("pages") * least >= F.col("all")))
 
     def deduce(key, part):
         rows = part.to_pydict()
@@ -443,8 +541,9 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", sour
             texts = []
             for url, source, main in zip(cols[1], cols[2], cols[3]):
                 page = Page(source)
-                paths = [p for p in main or known.get(host_of(url), ()) if p in page.opened]
-                texts.append(page.text(paths or choose(alone(page), 1)))
+                found = main or known.get(host_of(url), [])
+                there = any(p == "" or p in page.opened for p in found)
+                texts.append(page.text(found if there else choose(alone(page), 1)))
             return [cols[0], cols[1], texts, [len(t) for t in texts]]
 
         return step

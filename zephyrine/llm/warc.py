@@ -61,20 +61,106 @@ def value(headers: Headers, name: str) -> str | None:
 
 
 def read(data: bytes, at: int = 0) -> tuple[Headers, bytes, int] | None:
-    """Headers and block of the record at ``at``, and where the next one begins; None if there is none."""
-    while data[at : at + 1] in (b"\r", b"\n"):
-        at += 1
-    if not data.startswith(b"WARC/", at):
+    """Headers and block of the record at ``at``, and where its block ends; None if no whole record is there."""
+    found = next(records(iter([data[at:]])), None)
+    if found is None or isinstance(found, int):
         return None
-    m = re.compile(rb"\r?\n\r?\n").search(data, at)
-    if not m:
-        return None
-    headers = _fields(data[at : m.start()].partition(b"\n")[2])
-    size = value(headers, "Content-Length") or ""
-    if not size.isdigit() or m.end() + int(size) > len(data):
-        return None
-    end = m.end() + int(size)
-    return headers, data[m.end() : end], end
+    headers, block, begin, end = found
+    return headers, block, at + end
+
+
+HEAD = re.compile(rb"\r?\n\r?\n")
+Record = tuple[Headers, bytes, int, int]  # headers, block, where the record begins and its block ends
+
+
+def records(pieces: Iterator[bytes]) -> Iterator[Record | int]:
+    """The records of data that comes in pieces; for a stretch that is no whole record, its length in bytes.
+
+    What has no version line, no end of its headers or no length, or is not followed by a line break or the end
+    of the data, is no whole record; reading goes on at the next line that begins with WARC/. No more is held
+    than the record at hand.
+    """
+    held = bytearray()
+    start = skipped = 0  # where ``held`` begins, and how much was passed over before it
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        blank = 0
+        while True:
+            while blank < len(held) and held[blank] in b"\r\n":
+                blank += 1
+            if blank < len(held) or not more():
+                break
+        del held[:blank]
+        start += blank
+        while len(held) < 5 and more():
+            pass
+        if not held:
+            break
+        found = None
+        if held.startswith(b"WARC/"):
+            seen = 0
+            while (m := HEAD.search(held, seen)) is None:
+                seen = max(0, len(held) - 3)
+                if not more():
+                    break
+            if m and held.find(b"\nWARC/", 0, m.start()) >= 0:
+                m = None  # cut off within its headers
+            headers = _fields(bytes(held[: m.start()]).partition(b"\n")[2]) if m else []
+            size = value(headers, "Content-Length") or ""
+            if m and size.isdigit():
+                end = m.end() + int(size)
+                while len(held) <= end and more():
+                    pass
+                if len(held) == end or len(held) > end and held[end] in b"\r\n":
+                    found = headers, bytes(held[m.end() : end]), start, start + end
+        if found:
+            if skipped:
+                yield skipped
+                skipped = 0
+            yield found
+            del held[:end]
+            start += end
+            continue
+        at = 1
+        while (k := held.find(b"\nWARC/", at)) < 0:
+            at = max(1, len(held) - 5)
+            if not more():
+                break
+        gone = k + 1 if k >= 0 else len(held)
+        del held[:gone]
+        start += gone
+        skipped += gone
+    if skipped:
+        yield skipped
+
+
+def unpacked(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The content of a plain or gzip file in pieces. After a broken gzip member it goes on with the next one."""
+    if data[:2] != b"\x1f\x8b":
+        for lo in range(0, len(data), size):
+            yield data[lo : lo + size]
+        return
+    view, at = memoryview(data), 0
+    while at < len(data):
+        member, feed = zlib.decompressobj(31), at
+        try:
+            while not member.eof and feed < len(data):
+                piece = view[feed : feed + size]
+                yield member.decompress(piece)
+                feed += len(piece)
+            at = feed - len(member.unused_data)
+            if not member.eof:
+                break
+        except zlib.error:
+            yield b"\n"
+            at = data.find(b"\x1f\x8b\x08", at + 1)
+            if at < 0:
+                break
 
 
 def http(block: bytes) -> tuple[str, Headers, bytes]:
@@ -106,17 +192,17 @@ def decoded(headers: Headers, payload: bytes) -> str:
     except (OSError, EOFError, zlib.error):
         pass
     said = re.search(r"charset=[\"']?([\w.:-]+)", value(headers, "Content-Type") or "")
-    meta = re.search(rb"<meta[^>]{0,200}charset=[\"']?([\w.:-]+)", payload[:2048], re.I)
-    for name in (said and said[1], meta and meta[1].decode("latin-1"), "utf-8"):
+    meta = re.search(rb"<meta\b[^>]*charset\s*=\s*[\"']?([\w.:-]+)", payload, re.I) if b"charset" in payload.lower() else None
+    for name in [x for x in (said and said[1], meta and meta[1].decode("latin-1")) if x]:
         try:
-            return payload.decode(name or "utf-8", "replace")
+            return payload.decode(name, "replace")
         except LookupError:
             continue
     return payload.decode("utf-8", "replace")
 
 
 def plain(markup: str) -> tuple[str, str, list[str]]:
-    """Text (a line a block, white space collapsed, scripts and styles left out), title and links."""
+    """Text (a line a block, white space collapsed, scripts and styles left out), title and links (decoded)."""
     page = Page(markup)
     lines, line, title = [], [], []
     for path, _, _, text in [*page.texts, (None, False, False, "")]:
@@ -126,8 +212,7 @@ def plain(markup: str) -> tuple[str, str, list[str]]:
             said = " ".join("".join(line).split())
             lines += [said] if said else []
             line = []
-    links = re.findall(r"<a\s[^>]{0,2000}?href\s*=\s*[\"']?([^\"'\s>]+)", markup, re.I)
-    return "\n".join(lines), " ".join("".join(title).split()), links
+    return "\n".join(lines), " ".join("".join(title).split()), page.links
 
 
 def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
@@ -201,13 +286,14 @@ def responses(pages: DataFrame, date: str = DATE, page_id: str = "page_id", url:
     return common.map_texts(pages, columns, 2, make, RESPONSES)
 
 
-def derivatives(records: DataFrame, key: str = "page_id", record: str = "record") -> DataFrame:
+def derivatives(values: DataFrame, key: str = "page_id", record: str = "record") -> DataFrame:
     """DERIVED: the metadata and conversion records of every response in the binary column ``record``.
 
-    A value may hold several records one after another. What is no response, or no whole record, gives
-    no rows, as do nulls. Equal responses give equal records.
+    A value may hold several records one after another. A stretch that is no whole record gives one row of
+    ``record_type`` "unreadable" with its length; other records than responses, and nulls, give none. Equal
+    responses give equal records.
     """
-    common.ship(records.sparkSession)
+    common.ship(values.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -222,9 +308,11 @@ def derivatives(records: DataFrame, key: str = "page_id", record: str = "record"
             held = 0
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = data.as_py() or b""
-                at = 0
-                while (found := read(raw, at)) is not None:
-                    headers, block, at = found
+                for found in records(iter([raw])):
+                    if isinstance(found, int):
+                        rows.append((key, "unreadable", None, None, None, None, None, found, None, None, None))
+                        continue
+                    headers, block, _, _ = found
                     for own, body in derive(headers, block):
                         get = dict(own).get
                         inner = value(headers, "WARC-Payload-Digest") or digest(http(block)[2])
@@ -239,23 +327,26 @@ def derivatives(records: DataFrame, key: str = "page_id", record: str = "record"
             if rows:
                 yield out(rows)
 
-    return records.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{record}`").alias("record")).mapInArrow(run, DERIVED)
+    return values.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{record}`").alias("record")).mapInArrow(run, DERIVED)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, record``: the records of WARC files (plain or gzip), one row a file's record.
+    """``path, record, skipped``: the records of WARC files (plain or gzip), one row a record; a stretch that is
+    no whole record has no record and its length as ``skipped``.
 
-    A file is one task's work, as a compressed file has to be read from its beginning.
+    A file is one task's work, as a compressed file has to be read from its beginning, and must be under 2 GB;
+    it is unpacked piece by piece.
     """
     common.ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                at = 0
-                while (found := read(data, at)) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data[at : found[2]]], pa.binary())], names=["path", "record"])
-                    at = found[2]
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, record binary")
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for found in records(unpacked(data.as_py())):
+                    lost = isinstance(found, int)
+                    record = None if lost else write(found[0], found[1])
+                    columns = [pa.array([name]), pa.array([record], pa.binary()), pa.array([found if lost else 0], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["path", "record", "skipped"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, record binary, skipped long")
