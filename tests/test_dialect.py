@@ -8,7 +8,7 @@ from zephyrine.plans.dialect import Engine, tokens
 def engine(spark):
     e = Engine(spark)
     e.register("test", spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 1), (4, 3)], "id int, data int"))
-    e.register("products", spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.9, 0.2]), (3, [0.2, 0.9])], "id int, v array<float>"))
+    e.register("products", spark.createDataFrame([(1, [3.0, -4.0]), (2, [2.5, 0.5]), (3, [-1.0, 6.0])], "id int, v array<float>"))
     return e
 
 
@@ -41,8 +41,8 @@ def values(df):
         ("select 3 > any (select id from test) as a, 0 > any (select id from test) as b, 9 > all (select id from test) as c, 1 = all (select id from test) as d", [(True, False, True, False)]),
         ("select 3 < all (select nullif(id, 2) from test where id > 1) as a, 5 > all (select nullif(id, 2) from test) as b, 1 < any (select id from test where id > 9) as c", [(False, None, False)]),
         ("select 2 = any ([1, 2]) as a, 5 <> all ([1, 2]) as b, 0 > any ([1, 2]) as c", [(True, True, False)]),
-        ("select sum(it) as x from ([1, 2, 3, 1, 2]) it where it > 1", [(7,)]),
-        ("select distinct it from ([1, 2, 1]) as it order by it", [(1,), (2,)]),
+        ("select sum(it) as x from ([4, 9, 4, 25]) it where it > 4", [(34,)]),
+        ("select distinct it from ([8, 3, 8]) as it order by it", [(3,), (8,)]),
         ("select exists (select 1 from test where id = 3) as x", [(True,)]),
         ("select (select max(id) from test t where t.data = o.data) as x from test as o where o.id = 1", [(3,)]),
         ("select a.id, b.id as other from test a join test b on a.data = b.id where a.id <> b.id", [(3, 1), (4, 3)]),
@@ -62,7 +62,7 @@ def test_lambda(engine):
 
 
 def test_matching(engine):
-    assert values(engine.sql("select id from products matching v to vector [1.1, 0.05] top 2")) == [(1,), (2,)]
+    assert values(engine.sql("select id from products matching v to vector [2.0, -1.5] top 2")) == [(1,), (2,)]
     for bad in ("select id from products matching v to 123", "select id from products matching v to vector [1.0, 1.0]"):
         with pytest.raises((ValueError, IndexError)):
             engine.sql(bad)

@@ -85,7 +85,7 @@ def test_random_commits_like_a_dictionary(spark, store):
         store.commit("t", change)
         assert rows(store.table("t")) == model
     assert rows(Store(spark, store.root).table("t")) == model
-    assert rows(streams.replay(store.subscription("s"), "id", KV)) == model
+    assert rows(streams.replay(store.log("s"), "id", KV)) == model
 
 
 def test_subscription(spark, store):

@@ -60,15 +60,26 @@ def _refuse(rows: DataFrame, message: str) -> None:
         raise ValueError(message)
 
 
-def insert(table: DataFrame, rows: DataFrame, key: Sequence[str], defaults: dict[str, Column] | None = None, checked: bool = True) -> Change:
-    """New rows. With ``checked``, a NULL in the key, a key twice, or a key that the table has, raises."""
+def _fill(rows: DataFrame, filled: Sequence[str]) -> DataFrame:
+    """``rows``, which raise where a column that must have values has none."""
+    for c in filled:
+        message = F.lit(f"NULL in column {c}")
+        rows = rows.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(message).cast(rows.schema[c].dataType)).otherwise(F.col(c)))
+    return rows
+
+
+def insert(
+    table: DataFrame, rows: DataFrame, key: Sequence[str], defaults: dict[str, Column] | None = None, checked: bool = True, filled: Sequence[str] = ()
+) -> Change:
+    """New rows. With ``checked``, a NULL in the key, a key twice, or a key that the table has, raises; so does
+    a NULL in a column of ``filled``, when the rows are read."""
     rows = complete(rows, table, defaults)
     key = list(key)
     if checked:
         _refuse(rows.where(" OR ".join(f"`{k}` IS NULL" for k in key)), "insert: NULL in the primary key")
         _refuse(rows.groupBy(*key).count().where("count > 1"), "insert: duplicate key among the rows")
         _refuse(rows.select(*key).join(table.select(*key), key, "left_semi"), "insert: duplicate key")
-    return Change(key, writes=rows)
+    return Change(key, writes=_fill(rows, filled))
 
 
 Row = Callable[[str], Column]
@@ -82,6 +93,7 @@ def upsert(
     update: dict[str, Callable[[Row, Row], Column] | str] | None = None,
     where: Callable[[Row, Row], Column] | str | None = None,
     defaults: dict[str, Column] | None = None,
+    filled: Sequence[str] = (),
 ) -> Change:
     """INSERT … ON CONFLICT DO NOTHING (no ``update``) or DO UPDATE SET … [WHERE …].
 
@@ -91,6 +103,8 @@ def upsert(
     Rows that change nothing are not returned. A key's proposed rows are folded together in one task.
     """
     key = list(key)
+    if update and set(update) & set(key):
+        raise ValueError("on conflict: a primary key column cannot be assigned")
     kinds = {f.name: f.dataType for f in table.schema.fields}
     at = F.col(order) if order else F.lit(0)
     marked = rows.withColumn("__order", at)
@@ -126,14 +140,18 @@ def upsert(
     else:
         folded = F.aggregate(rest, state, step)
     end = met.select(folded.alias("__end")).where("__end.changed")
-    return Change(key, writes=end.select(*[F.col(f"__end.r.{c}").alias(c) for c in columns]))
+    return Change(key, writes=_fill(end.select(*[F.col(f"__end.r.{c}").alias(c) for c in columns]), filled))
 
 
-def update(table: DataFrame, key: Sequence[str], assign: dict[str, Column], where: Column | None = None) -> Change:
-    """Rows for which ``where`` holds, with columns assigned; all expressions see the old row."""
+def update(table: DataFrame, key: Sequence[str], assign: dict[str, Column], where: Column | None = None, filled: Sequence[str] = ()) -> Change:
+    """Rows for which ``where`` holds, with columns assigned; all expressions see the old row. A column of the
+    primary key cannot be assigned; a NULL in a column of ``filled`` raises when the rows are read."""
+    if set(assign) & set(key):
+        raise ValueError("update: a primary key column cannot be assigned")
     hit = table.where(where) if where is not None else table
     kinds = {f.name: f.dataType for f in table.schema.fields}
-    return Change(list(key), writes=hit.select(*[(assign[c].cast(kinds[c]) if c in assign else F.col(c)).alias(c) for c in table.columns]))
+    rows = hit.select(*[(assign[c].cast(kinds[c]) if c in assign else F.col(c)).alias(c) for c in table.columns])
+    return Change(list(key), writes=_fill(rows, [c for c in filled if c in assign]))
 
 
 def delete(table: DataFrame, key: Sequence[str], where: Column | None = None) -> Change:

@@ -148,7 +148,7 @@ def subscription_after_ack(t):
 
 @Q.add("cdc_replay", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 11 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_regionkey <> 2")
 def cdc_replay(t):
-    return streams.replay(history(t).subscription("sub"), "n_nationkey", "n_nationkey int, n_regionkey int")
+    return streams.replay(history(t).log("sub"), "n_nationkey", "n_nationkey int, n_regionkey int")
 
 
 @Q.add("topic_publish", "SELECT CAST(3 AS BIGINT) AS lsn, 'publish' AS cmd, props AS data FROM events")

@@ -5,8 +5,9 @@ one small file, the store's head, by a rename; readers see the version that the
 what it changes; reading joins the base against the deltas' keys, and compaction folds deltas into a base.
 
 All rows of one commit share one LSN, which grows by one each commit. Changes of subscribed tables, and
-what is published to subscribed topics, are appended to a log by LSN. A clone's head names the files that
-its table had when it was made, so neither sees the other's later commits.
+what is published to subscribed topics, are appended to a log by LSN and, within it, by statement. The head
+names the log's folders, and streams see one only once it is named: what is rolled back reaches nobody. A
+clone's head names the files that its table had when it was made, so neither sees the other's later commits.
 
 One driver commits at a time; a head that another driver replaced meanwhile makes a commit fail.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from zephyrine.operators.dml import Change
 
-EVENTS = T.StructType([T.StructField("lsn", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("rel", T.StringType()), T.StructField("cmd", T.StringType()), T.StructField("data", T.StringType())])
+EVENTS = T.StructType([T.StructField("lsn", T.LongType()), T.StructField("step", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("rel", T.StringType()), T.StructField("cmd", T.StringType()), T.StructField("data", T.StringType())])
 #: Deltas after which a commit compacts a table.
 DELTAS = 8
 
@@ -35,8 +36,10 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
-        self.head = self._read() or {"lsn": 0, "version": 0, "tables": {}, "topics": [], "subscriptions": {}, "functions": {}}
+        self.head = self._read() or {"lsn": 0, "version": 0, "tables": {}, "topics": [], "subscriptions": {}, "log": {}}
         self._staged: dict | None = None
+        self._steps = 0
+        self._show_log()
 
     # the head file
 
@@ -59,12 +62,23 @@ class Store:
         if not self._fs.rename(part, self._path(name)):
             raise RuntimeError("another commit was first")
         self.head = head
+        self._show_log()
+
+    def _show_log(self) -> None:
+        """Give log folders that the head names their final names, by which streams find them."""
+        for rel, names in self.head["log"].items():
+            for name in names[-8:]:
+                hidden = self._path(f"{self.log_path(rel)}/_{name}")
+                if self._fs.exists(hidden):
+                    self._fs.rename(hidden, self._path(f"{self.log_path(rel)}/{name}"))
 
     def _commit(self, edit) -> int:
         """Run ``edit(head, lsn)`` on a copy of the head and swap it in; within a block, when that ends."""
         if self._staged is not None:
+            self._steps += 1
             edit(self._staged, self._staged["lsn"])
             return self._staged["lsn"]
+        self._steps = 0
         head = json.loads(json.dumps(self.head))
         head["lsn"] += 1
         edit(head, head["lsn"])
@@ -77,10 +91,11 @@ class Store:
             raise RuntimeError("blocks do not nest")
         self._staged = json.loads(json.dumps(self.head))
         self._staged["lsn"] += 1
+        self._steps = 0
 
     def end(self, commit: bool = True) -> None:
         staged, self._staged = self._staged, None
-        if commit and staged is not None:
+        if commit and staged is not None and staged != {**self.head, "lsn": staged["lsn"]}:
             self._swap(staged)
 
     @property
@@ -89,14 +104,14 @@ class Store:
 
     # definitions
 
-    def create_table(self, name: str, schema: str | T.StructType, key: Sequence[str], defaults: dict[str, object] | None = None, identity: str | None = None) -> None:
+    def create_table(self, name: str, schema: str | T.StructType, key: Sequence[str], defaults: dict[str, object] | None = None, identity: str | None = None, filled: Sequence[str] = ()) -> None:
         if isinstance(schema, str):
             schema = T._parse_datatype_string(schema)
         if not key or any(k not in schema.fieldNames() for k in key):
             raise ValueError("a table needs a primary key among its columns")
         if name in self.now["tables"] or name in self.now["topics"]:
             raise ValueError(f"{name} exists")
-        spec = {"schema": schema.jsonValue(), "key": list(key), "defaults": defaults or {}, "identity": identity, "next": 0, "base": [], "deltas": [], "indexes": {}, "of": None, "physical": {c: c for c in schema.fieldNames()}, "used": schema.fieldNames()}
+        spec = {"schema": schema.jsonValue(), "key": list(key), "defaults": defaults or {}, "identity": identity, "filled": list(filled), "next": 0, "base": [], "deltas": [], "indexes": {}, "of": None, "physical": {c: c for c in schema.fieldNames()}, "used": schema.fieldNames()}
         self._commit(lambda head, _: head["tables"].update({name: spec}))
 
     def drop_table(self, name: str) -> None:
@@ -133,6 +148,7 @@ class Store:
             t["schema"]["fields"] = [f for f in t["schema"]["fields"] if f["name"] != column]
             del t["physical"][column]
             t["defaults"].pop(column, None)
+            t["filled"] = [c for c in t["filled"] if c != column]
 
         self._commit(edit)
 
@@ -147,6 +163,8 @@ class Store:
             for f in t["schema"]["fields"]:
                 f["name"] = to if f["name"] == column else f["name"]
             t["key"] = [to if k == column else k for k in t["key"]]
+            t["filled"] = [to if c == column else c for c in t["filled"]]
+            t["identity"] = to if t["identity"] == column else t["identity"]
             if column in t["defaults"]:
                 t["defaults"][to] = t["defaults"].pop(column)
             for i in t["indexes"].values():
@@ -164,9 +182,9 @@ class Store:
         self._commit(edit)
 
     def create_index(self, name: str, index: str, columns: Sequence[str], unique: bool = False) -> None:
-        """Kept as a definition; if unique, the rows there are must agree."""
-        if unique and not self.table(name).groupBy(*columns).count().where("count > 1").isEmpty():
-            raise ValueError("rows are not unique")
+        """Kept as a definition; if unique, the rows there are must agree, and so must later changes."""
+        if unique:
+            self._refuse_repeated(self.table(name), columns)
         self._commit(lambda head, _: head["tables"][name]["indexes"].update({index: {"columns": list(columns), "unique": unique}}))
 
     def create_clone(self, name: str, of: str) -> None:
@@ -198,6 +216,24 @@ class Store:
     def drop_subscription(self, name: str) -> None:
         self._commit(lambda head, _: head["subscriptions"].pop(name))
 
+    def rename_topic(self, name: str, to: str) -> None:
+        if to in self.now["topics"] or to in self.now["tables"]:
+            raise ValueError(f"{to} exists")
+        if any(s["rel"] == name for s in self.now["subscriptions"].values()):
+            raise ValueError(f"{name} has subscriptions")
+        self._commit(lambda head, _: head["topics"].__setitem__(head["topics"].index(name), to))
+
+    def rename_subscription(self, name: str, to: str) -> None:
+        if to in self.now["subscriptions"]:
+            raise ValueError(f"{to} exists")
+        self._commit(lambda head, _: head["subscriptions"].update({to: head["subscriptions"].pop(name)}))
+
+    @staticmethod
+    def _refuse_repeated(rows: DataFrame, columns: Sequence[str]) -> None:
+        filled = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+        if not filled.groupBy(*columns).count().where("count > 1").isEmpty():
+            raise ValueError("rows are not unique")
+
     # rows
 
     def schema(self, name: str) -> T.StructType:
@@ -231,6 +267,17 @@ class Store:
     def defaults(self, name: str) -> dict[str, Column]:
         return {c: F.lit(v) for c, v in self.now["tables"][name]["defaults"].items()}
 
+    def filled(self, name: str) -> list[str]:
+        """Columns that must have values."""
+        return self.now["tables"][name]["filled"]
+
+    def truncate(self, name: str) -> None:
+        """All rows go; nothing is written but the events of a subscribed table."""
+        spec = self.now["tables"][name]
+        if any(s["rel"] == name for s in self.now["subscriptions"].values()):
+            self._commit(lambda head, lsn: self._log(head, name, lsn, self.table(name).withColumn("__gone", F.lit(True)), spec["key"], self.schema(name)))
+        self._commit(lambda head, _: head["tables"][name].update({"base": [], "deltas": []}))
+
     def commit(self, name: str, change: Change) -> DataFrame:
         """Write a change; its RETURNING rows are read back from what was written. Its rows are worked out
         once: deltas are written first and everything else reads those."""
@@ -247,10 +294,19 @@ class Store:
         both.withColumnsRenamed(step["physical"]).withColumn("__lsn", F.lit(order).cast("long")).write.parquet(folder)
         written = self.spark.read.schema(T.StructType([*stored.fields, T.StructField("__gone", T.BooleanType())])).parquet(folder).select(*named, "__gone")
 
+        new = written.where("NOT __gone").select(*schema.fieldNames())
+        for index in step["indexes"].values():
+            if index["unique"] and change.writes is not None:
+                # what is written, against itself and against what stays
+                own = [c for c in dict.fromkeys([*change.key, *index["columns"]])]
+                stays = self.table(name).select(*own).join(written.select(*change.key), change.key, "left_anti").select(*own)
+                stays = stays.join(new.select(*index["columns"]).distinct(), index["columns"], "left_semi").select(*own)
+                self._refuse_repeated(new.select(*own).unionByName(stays), index["columns"])
+
         def edit(head, lsn):
             head["tables"][name]["deltas"].append(folder)
             if any(s["rel"] == name for s in head["subscriptions"].values()):
-                self._log(name, lsn, written, change.key, schema)
+                self._log(head, name, lsn, written, change.key, schema)
 
         self._commit(edit)
         if len(self.now["tables"][name]["deltas"]) > DELTAS and self._staged is None:
@@ -264,52 +320,76 @@ class Store:
         self._commit(lambda head, _: head["tables"][name].update({"base": [folder], "deltas": []}))
 
     def identities(self, name: str, rows: DataFrame) -> DataFrame:
-        """``rows`` with the identity column numbered on from the last commit's; numbers may have gaps."""
+        """``rows``, written out, with the identity column numbered on from the last commit's, without gaps."""
         spec = self.now["tables"][name]
-        n = spec["next"]
-        out = rows.withColumn(spec["identity"], F.monotonically_increasing_id() + n)
-        last = out.agg(F.max(spec["identity"])).first()[0]
-        if last is not None:
-            self._commit(lambda head, _: head["tables"][name].update({"next": last + 1}))
-        return out
+        folder = f"{self.root}/data/{name}/_{uuid.uuid4().hex}"
+        rows.withColumn("__one", F.lit(1)).write.parquet(folder)
+        written = self.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("__one", T.IntegerType())])).parquet(folder)
+        file, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        sizes = sorted((r["file"], r["count"]) for r in written.select(file.alias("file")).groupBy("file").count().collect())
+        starts, at = [], spec["next"]
+        for path, n in sizes:
+            starts.append((path, at))
+            at += n
+        if at == spec["next"]:
+            return rows.withColumn(spec["identity"], F.lit(None).cast("long")).limit(0)
+        first = self.spark.createDataFrame(starts, "__file string, __start long").coalesce(1)
+        numbered = written.select(*rows.columns, file.alias("__file"), place.alias("__place")).join(F.broadcast(first), "__file")
+        self._commit(lambda head, _: head["tables"][name].update({"next": at}))
+        return numbered.select(*rows.columns, (F.col("__start") + F.col("__place")).alias(spec["identity"]))
 
     # change log
 
-    def _log(self, rel: str, lsn: int, rows: DataFrame, key: Sequence[str], schema: T.StructType) -> None:
+    def _append(self, head: dict, rel: str, lsn: int, events: DataFrame) -> None:
+        """Write events, and name their folder in the head to be; until that is swapped in, no reader sees it."""
+        name = f"lsn={lsn:012d}-{uuid.uuid4().hex}"
+        events.select(*EVENTS.fieldNames()).write.parquet(f"{self.log_path(rel)}/_{name}")
+        head["log"].setdefault(rel, []).append(name)
+
+    def _log(self, head: dict, rel: str, lsn: int, rows: DataFrame, key: Sequence[str], schema: T.StructType) -> None:
         events = rows.select(
             F.lit(lsn).cast("long").alias("lsn"),
-            # the order of rows within a commit is by key; ties there cannot be
+            F.lit(self._steps).cast("long").alias("step"),
+            # a statement has one event of a key
             F.xxhash64(*key).alias("seq"),
             F.lit(rel).alias("rel"),
             F.when(F.col("__gone"), "delete").otherwise("write").alias("cmd"),
             F.to_json(F.struct(*schema.fieldNames()), {"ignoreNullFields": "false"}).alias("data"),
         )
-        events.write.mode("append").parquet(f"{self.root}/log/{rel}/lsn={lsn:012d}")
+        self._append(head, rel, lsn, events)
 
     def publish(self, topic: str, values: DataFrame) -> int:
-        """Append a column of JSON texts to a topic; without subscribers nothing is kept."""
+        """Append a column of JSON texts to a topic, in the order of its rows; without subscribers nothing is kept."""
         if topic not in self.now["topics"]:
             raise ValueError(f"no topic {topic}")
         column = values.columns[0]
 
         def edit(head, lsn):
             if any(s["rel"] == topic for s in head["subscriptions"].values()):
-                events = values.select(F.lit(lsn).cast("long").alias("lsn"), F.xxhash64(column).alias("seq"), F.lit(topic).alias("rel"), F.lit("publish").alias("cmd"), F.col(column).alias("data"))
-                events.write.mode("append").parquet(f"{self.root}/log/{topic}/lsn={lsn:012d}")
+                step, seq = F.lit(self._steps).cast("long").alias("step"), F.monotonically_increasing_id().alias("seq")
+                events = values.select(F.lit(lsn).cast("long").alias("lsn"), step, seq, F.lit(topic).alias("rel"), F.lit("publish").alias("cmd"), F.col(column).alias("data"))
+                self._append(head, topic, lsn, events)
 
         return self._commit(edit)
 
     def log_path(self, rel: str) -> str:
         return f"{self.root}/log/{rel}"
 
-    def subscription(self, name: str) -> DataFrame:
-        """``lsn, cmd, data`` of all events after the acknowledged one, as often as it is read."""
+    def log(self, name: str) -> DataFrame:
+        """EVENTS of a subscription after the acknowledged one, in any order, as often as it is read."""
         s = self.now["subscriptions"][name]
-        folder = self.log_path(s["rel"])
-        if not self._fs.exists(self._path(folder)):
-            return self.spark.createDataFrame([], "lsn long, cmd string, data string")
-        log = self.spark.read.schema(EVENTS).option("recursiveFileLookup", "true").parquet(folder)
-        return log.where((F.col("lsn") > s["ack"]) & (F.col("lsn") <= self.now["lsn"])).select("lsn", "cmd", "data")
+        names = [n for n in self.now["log"].get(s["rel"], []) if int(n[4:16]) > s["ack"]]
+        folders = []
+        for n in names:
+            shown = f"{self.log_path(s['rel'])}/{n}"
+            folders.append(shown if self._fs.exists(self._path(shown)) else f"{self.log_path(s['rel'])}/_{n}")
+        if not folders:
+            return self.spark.createDataFrame([], EVENTS)
+        return self.spark.read.schema(EVENTS).parquet(*folders)
+
+    def subscription(self, name: str) -> DataFrame:
+        """``lsn, cmd, data`` of all events after the acknowledged one, in their order, as often as it is read."""
+        return self.log(name).orderBy("lsn", "step", "seq").select("lsn", "cmd", "data")
 
     def acknowledge(self, name: str, lsn: int) -> None:
         """Move a subscription forward; backward or beyond the last commit is an error."""
@@ -320,18 +400,20 @@ class Store:
             raise ValueError("cannot acknowledge what is not there yet")
         if lsn == s["ack"]:
             return
-        self._commit(lambda head, _: head["subscriptions"][name].update({"ack": lsn}))
-        self._collect(s["rel"])
-
-    def _collect(self, rel: str) -> None:
-        """Remove events that every subscription of a relation has acknowledged."""
-        least = min(s["ack"] for s in self.head["subscriptions"].values() if s["rel"] == rel)
-        folder = self._path(self.log_path(rel))
-        if self._fs.exists(folder):
-            for s in self._fs.listStatus(folder):
-                at = s.getPath().getName()
-                if at.startswith("lsn=") and int(at[4:]) <= least:
-                    self._fs.delete(s.getPath(), True)
+        gone: list[str] = []
+
+        def edit(head, _):
+            head["subscriptions"][name]["ack"] = lsn
+            # events that every subscription of the relation has acknowledged
+            least = min(x["ack"] for x in head["subscriptions"].values() if x["rel"] == s["rel"])
+            names = head["log"].get(s["rel"], [])
+            gone.extend(n for n in names if int(n[4:16]) <= least)
+            head["log"][s["rel"]] = [n for n in names if n not in gone]
+
+        self._commit(edit)
+        if self._staged is None:
+            for n in gone:
+                self._fs.delete(self._path(f"{self.log_path(s['rel'])}/{n}"), True)
 
     # catalog
 

@@ -13,7 +13,7 @@ from zephyrine.sources.store import EVENTS, Store
 
 
 def events(store: Store, rel: str) -> DataFrame:
-    """The log of a relation as a stream: ``lsn, seq, rel, cmd, data``."""
+    """The log of a relation as a stream of EVENTS: what was committed, in any order within a batch."""
     return store.spark.readStream.schema(EVENTS).option("recursiveFileLookup", "true").parquet(store.log_path(rel))
 
 
@@ -25,10 +25,10 @@ def deliver(store: Store, rel: str, handle: Callable[[DataFrame, int], None], ch
 
 
 def replay(log: DataFrame, key: str, schema: str) -> DataFrame:
-    """The table that a log of ``lsn, cmd, data`` leaves: each key's last event, unless it is a delete."""
+    """The table that a log of EVENTS leaves: each key's last event by LSN and statement, unless it is a delete."""
     row = F.from_json("data", schema)
-    last = log.select(row.alias("r"), "lsn", "cmd").groupBy(F.col(f"r.{key}").alias("k")).agg(
-        F.max_by(F.struct("r", "cmd"), F.struct("lsn", F.col("cmd"))).alias("last")
+    last = log.select(row.alias("r"), "lsn", "step", "cmd").groupBy(F.col(f"r.{key}").alias("k")).agg(
+        F.max_by(F.struct("r", "cmd"), F.struct("lsn", "step")).alias("last")
     )
     return last.where("last.cmd = 'write'").select("last.r.*")
 
