@@ -22,6 +22,19 @@ def get(v: Column, path: str, kind: str = "string") -> Column:
     return F.variant_get(v, path, kind)
 
 
+def values(text: Column) -> Column:
+    """The elements of a JSON array (text), of any kinds, as an array of JSON values; for the functions below.
+    Text that is no array raises."""
+    parsed = F.parse_json(text)
+    bad = F.raise_error(F.lit("a JSON array is expected")).cast("array<variant>")
+    return F.when(F.schema_of_variant(parsed).startswith("ARRAY"), parsed.cast("array<variant>")).when(parsed.isNotNull(), bad)
+
+
+def value(x: Column) -> Column:
+    """Any value as a JSON value."""
+    return x.cast("variant")
+
+
 def append(array: Column, *values: Column) -> Column:
     """Values at the end of an array."""
     return F.concat(array, F.array(*values))
@@ -84,18 +97,6 @@ def unset_path(text: str | None, path: str) -> str | None:
     return json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
 
 
-def has_path(text: str | None, path: str) -> bool | None:
-    """Whether there is a member at a dotted path; a JSON null counts."""
-    if text is None:
-        return None
-    at = json.loads(text)
-    for name in path.split("."):
-        if not isinstance(at, dict) or name not in at:
-            return False
-        at = at[name]
-    return True
-
-
 def set_(text: Column, path: str, value: Column) -> Column:
     """:func:`set_path` with the new value as JSON text."""
     ship()
@@ -118,13 +119,9 @@ def unset(text: Column, path: str) -> Column:
 
 
 def has(text: Column, path: str) -> Column:
-    ship()
-
-    @F.pandas_udf("boolean")
-    def run(t: pd.Series) -> pd.Series:
-        return pd.Series([has_path(a, path) for a in t], dtype=object)
-
-    return run(text)
+    """Whether there is a member at a dotted path; a JSON null counts."""
+    quoted = "".join("['" + n.replace("\\", "\\\\").replace("'", "\\'") + "']" for n in path.split("."))
+    return F.when(text.isNotNull(), F.variant_get(F.parse_json(text), f"${quoted}", "variant").isNotNull())
 
 
 def array_of(*values: Column) -> Column:

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zephyrine.queries import changes, documents, expressions, relational
+from zephyrine.queries import changes, dialect, documents, expressions, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {k: v for m in (relational, expressions, documents, changes) for k, v in m.Q.queries.items()}
+    return {k: v for m in (relational, expressions, documents, changes, dialect) for k, v in m.Q.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in (relational, expressions, documents, changes) for k, v in m.Q.sql.items()}
+    return {k: v for m in (relational, expressions, documents, changes, dialect) for k, v in m.Q.sql.items()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +9,9 @@ from pyspark.sql import functions as F
 from zephyrine.operators import dml
 from zephyrine.plans import procedures
 from zephyrine.plans.dialect import Engine
+from zephyrine.plans.statements import Database
 from zephyrine.queries.registry import Registry, Tables
+from zephyrine.session import shared_folder
 from zephyrine.sources.store import Store
 from zephyrine.streaming import streams
 
@@ -22,8 +23,7 @@ ORDERS = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
 
 def store(t: Tables) -> Store:
     """A new store where the cluster shares files."""
-    top = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="zephyrine-")
-    return Store(t.spark, f"{top.rstrip('/')}/store-{uuid.uuid4().hex}")
+    return Store(t.spark, f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}")
 
 
 def orders(t: Tables):
@@ -205,6 +205,65 @@ def proc_for(t):
     )
 
 
+@Q.add("cdc_rollback", f"SELECT CAST(3 AS BIGINT) AS lsn, 'write' AS cmd, {event('n_nationkey', 'n_regionkey')} AS data FROM nation")
+def cdc_rollback(t):
+    """What a block did that was rolled back reaches no subscriber."""
+    s = store(t)
+    s.create_table("n", "n_nationkey int, n_regionkey int", ["n_nationkey"])
+    s.create_subscription("sub", "n")
+    s.begin()
+    s.commit("n", dml.insert(s.table("n"), t.region.select(c("r_regionkey").alias("n_nationkey"), F.lit(-1).alias("n_regionkey")), ["n_nationkey"]))
+    s.end(commit=False)
+    s.commit("n", dml.insert(s.table("n"), t.nation.select("n_nationkey", "n_regionkey"), ["n_nationkey"]))
+    return s.subscription("sub")
+
+
+@Q.add("cdc_block_replay", "SELECT o_orderkey, CASE WHEN o_custkey % 3 = 1 THEN o_custkey + 7 ELSE o_custkey END AS o_custkey FROM orders WHERE o_custkey % 3 <> 0")
+def cdc_block_replay(t):
+    """Rows written, changed and deleted within one block: the log replays to the table."""
+    s = store(t)
+    s.create_table("o", "o_orderkey long, o_custkey long", ["o_orderkey"])
+    s.create_subscription("sub", "o")
+    s.begin()
+    s.commit("o", dml.insert(s.table("o"), t.orders.select("o_orderkey", "o_custkey"), ["o_orderkey"], checked=False))
+    s.commit("o", dml.update(s.table("o"), ["o_orderkey"], {"o_custkey": c("o_custkey") + 7}, c("o_custkey") % 3 == 1))
+    s.commit("o", dml.delete(s.table("o"), ["o_orderkey"], c("o_custkey") % 3 == 0))
+    s.end()
+    return streams.replay(s.log("sub"), "o_orderkey", "o_orderkey long, o_custkey long")
+
+
+@Q.add("stream_delivery", "SELECT CAST(count(*) AS BIGINT) AS events, CAST(count(DISTINCT props) AS BIGINT) AS texts FROM events")
+def stream_delivery(t):
+    """A topic's events, delivered in batches by a stream, each at least once."""
+    s = store(t)
+    s.create_topic("top")
+    s.create_subscription("sub", "top")
+    s.publish("top", t.events.select("props"))
+    out = f"{s.root}/delivered"
+
+    def handle(rows, batch):
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    streams.deliver(s, "top", handle, f"{s.root}/progress").awaitTermination()
+    return t.spark.read.parquet(out).agg(F.count("*").alias("events"), F.countDistinct("data").alias("texts"))
+
+
+@Q.add("watch_then_read", "SELECT count(*) AS n FROM region")
+def watch_then_read(t):
+    t.region.createOrReplaceTempView("zephyrine_watched")
+    streams.watch_sql(t.spark, "(SELECT count(*) FROM zephyrine_watched) > 0", most=30.0)
+    return t.region.agg(F.count("*").alias("n"))
+
+
+@Q.add("function_execute", "SELECT CAST(max(o_custkey) * 2 AS BIGINT) AS x FROM orders")
+def function_execute(t):
+    """A function with a block as body, called by EXECUTE."""
+    db = Database(t.spark, f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}")
+    db.execute("create function twice (x int) return int begin declare y int := x; y := y * 2; return y; end")
+    top = t.orders.agg(F.max("o_custkey")).first()[0]
+    return db.execute(f"execute twice({top})")
+
+
 # the dialect
 
 
@@ -215,9 +274,9 @@ def engine(t: Tables, *names: str) -> Engine:
     return e
 
 
-@Q.add("dialect_method_call", "SELECT p_partkey, upper(substr(p_name, 1, 3)) AS up, CAST(p_size AS VARCHAR) || '!' AS s, CAST(p_size // 4 AS BIGINT) AS q FROM part WHERE p_size % 2 = 0")
+@Q.add("dialect_method_call", "SELECT p_partkey, upper(substr(p_name, 1, 3)) AS up, CAST(p_size AS VARCHAR) || '!' AS s, CAST(p_size // 4 AS BIGINT) AS q FROM part")
 def dialect_method_call(t):
-    return engine(t, "part").sql("select p_partkey, p_name::substr(1, 3)::upper() as up, p_size::string || '!' as s, p_size / 4 as q from part where p_size % 2 = 0")
+    return engine(t, "part").sql("select p_partkey, p_name::substr(1, 3)::upper() as up, p_size::string || '!' as s, p_size / 4 as q from part")
 
 
 @Q.add("dialect_lambda", "SELECT o_orderstatus, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY 1")

@@ -19,9 +19,9 @@ def json_access(t):
     return t.events.select("event_id", jsons.get(v, "$.k", "long").alias("k"), jsons.get(v, "$.none").alias("none"))
 
 
-@Q.add("json_array_scan", "SELECT CAST(unnest([1, 2, 3, 1, 2]) AS BIGINT) AS it")
+@Q.add("json_array_scan", "SELECT CAST(unnest([4, 9, 4, 25]) AS BIGINT) AS it")
 def json_array_scan(t):
-    return ingest.json_source(t.spark.range(1).select(), F.lit("[1,2,3,1,2]"), "it", "long")
+    return ingest.json_source(t.spark.range(1).select(), F.lit("[4,9,4,25]"), "it", "long")
 
 
 @Q.add("json_correlated_scan", "SELECT n_nationkey, CAST(x AS BIGINT) AS x FROM nation, unnest([n_nationkey, n_regionkey, 7]) AS u(x)")

@@ -16,10 +16,13 @@ def r6(x, name):
     return (F.round(x, 6) + 0.0).alias(name)
 
 
-@Q.add("arith_int_div_mod", "SELECT o_orderkey, (o_orderkey - 500) // 7 + CASE WHEN (o_orderkey - 500) < 0 AND (o_orderkey - 500) % 7 <> 0 AND (o_orderkey - 500) // 7 * 7 > (o_orderkey - 500) THEN 0 ELSE 0 END AS q, (o_orderkey - 500) % 7 AS r, (o_orderkey + 3) * 2 - 1 AS s FROM orders WHERE o_orderkey >= 500")
+X500 = "(o_orderkey - 500)"
+
+
+@Q.add("arith_int_div_mod", f"SELECT o_orderkey, CAST(sign({X500}) * (abs({X500}) // 7) AS BIGINT) AS q, CAST(sign({X500}) * (abs({X500}) % 7) AS BIGINT) AS r, (o_orderkey + 3) * 2 - 1 AS s FROM orders")
 def arith_int_div_mod(t):
     x = c("o_orderkey") - 500
-    return t.orders.where("o_orderkey >= 500").select("o_orderkey", numbers.idiv(x, F.lit(7)).alias("q"), numbers.imod(x, F.lit(7)).alias("r"), ((c("o_orderkey") + 3) * 2 - 1).alias("s"))
+    return t.orders.select("o_orderkey", numbers.idiv(x, F.lit(7)).alias("q"), numbers.imod(x, F.lit(7)).alias("r"), ((c("o_orderkey") + 3) * 2 - 1).alias("s"))
 
 
 @Q.add("arith_negative_div", "SELECT n_nationkey, CAST(trunc((n_nationkey - 12) / 5) AS BIGINT) AS q, CAST((n_nationkey - 12) - 5 * trunc((n_nationkey - 12) / 5) AS BIGINT) AS r FROM nation")
@@ -66,9 +69,9 @@ def str_case(t):
     return t.part.select("p_partkey", strings.lower(c("p_name")).alias("lo"), strings.upper(c("p_name")).alias("up"))
 
 
-@Q.add("str_case_ascii", "SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lo FROM documents WHERE lang <> 'en'")
+@Q.add("str_case_ascii", "SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lo FROM documents")
 def str_case_ascii(t):
-    return t.documents.where("lang <> 'en'").select("doc_id", strings.lower(c("text")).alias("lo"))
+    return t.documents.select("doc_id", strings.lower(c("text")).alias("lo"))
 
 
 @Q.add("str_substr", "SELECT p_partkey, substr(p_name, 2, 3) AS mid, substr(p_name, 4) AS tail FROM part WHERE length(p_name) >= 4")
@@ -228,11 +231,50 @@ def interval_diff(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", d["us"].alias("us"))
 
 
-@Q.add("interval_fields", "SELECT CAST(2 AS BIGINT) AS y, CAST(3 AS BIGINT) AS m, CAST(10 AS BIGINT) AS d, CAST(27 AS BIGINT) AS h, CAST(24 AS INTEGER) AS ym, CAST(97200000000 AS BIGINT) AS hus")
+@Q.add(
+    "interval_fields",
+    """SELECT event_id, CAST(user_id // 12 AS BIGINT) AS y, CAST(user_id % 12 AS BIGINT) AS m, CAST(event_id % 40 AS BIGINT) AS d, CAST(event_id % 100 AS BIGINT) AS h, CAST(user_id // 12 * 12 AS INTEGER) AS ym,
+              CAST(event_id % 100 * 3600000000 AS BIGINT) AS hus FROM events""",
+)
 def interval_fields(t):
-    iv = temporal.interval("2 years 3 months 1 week 3 days 27 hours 5 minutes")
+    """Intervals read from a column of texts."""
+    said = F.concat(c("user_id"), F.lit(" months "), c("event_id") % 40, F.lit(" days "), c("event_id") % 100, F.lit(" hours 5 minutes"))
+    iv = temporal.interval(said)
     e, cut = temporal.extract_interval, temporal.interval_trunc
-    return t.spark.range(1).select(e("year", iv).alias("y"), e("month", iv).alias("m"), e("day", iv).alias("d"), e("hour", iv).alias("h"), cut("year", iv)["m"].alias("ym"), cut("hour", iv)["us"].alias("hus"))
+    rows = t.events.select("event_id", iv.alias("iv"))
+    iv = c("iv")
+    return rows.select("event_id", e("year", iv).alias("y"), e("month", iv).alias("m"), e("day", iv).alias("d"), e("hour", iv).alias("h"), cut("year", iv)["m"].alias("ym"), cut("hour", iv)["us"].alias("hus"))
+
+
+@Q.add(
+    "cast_more",
+    """SELECT event_id, json_extract_string(props, '$.k') AS js, CAST(user_id AS VARCHAR) AS num, event_type AS word, CAST(ts AS DATE) AS day, CAST(event_id + 2440588 - 2440588 AS BIGINT) AS julian,
+              lower('0000AAAA-0000-0000-0000-' || lpad(CAST(event_id AS VARCHAR), 12, '0')) AS id, CAST(CAST(user_id AS FLOAT) AS DOUBLE) AS v0 FROM events""",
+)
+def cast_more(t):
+    """JSON, dates, vectors and identifiers from values of other types, and back."""
+    number, text = casts.to_json(c("user_id")), casts.to_json(c("event_type"))
+    made = F.concat(F.lit("0000AAAA-0000-0000-0000-"), F.lpad(c("event_id").cast("string"), 12, "0"))
+    vector = casts.to_vector(F.concat(F.lit("["), c("user_id"), F.lit(", 0.5]")))
+    return t.events.select(
+        "event_id", casts.to_string(F.variant_get(casts.json_decode(c("props")), "$.k", "variant"), "json").alias("js"), casts.to_string(number, "json").alias("num"), casts.to_string(text, "json").alias("word"),
+        casts.to_date(c("ts")).alias("day"), casts.to_int(casts.to_date(c("event_id") + 2440588, "int"), "date").alias("j"), casts.to_uuid(made).alias("id"), vector[0].cast("double").alias("v0"),
+    ).withColumn("julian", c("j") - 2440588).drop("j")
+
+
+@Q.add("error_guard", "SELECT o_orderkey, o_totalprice AS kept FROM orders")
+def error_guard(t):
+    """A branch that raises is not taken where its condition does not hold."""
+    bad = F.when(c("o_totalprice") < 0, misc.error("negative price").cast("double"))
+    return t.orders.select("o_orderkey", F.when(c("o_totalprice") < 0, bad).otherwise(c("o_totalprice")).alias("kept"))
+
+
+@Q.add("random_values", "SELECT count(*) AS n, true AS in_range, true AS wellformed, true AS spread FROM orders")
+def random_values(t):
+    """Random integers are zero or more, random identifiers are of version 4, and hardly any repeat."""
+    made = t.orders.select(numbers.random_int().alias("x"), misc.random_uuid().alias("u"))
+    good = c("u").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return made.agg(F.count("*").alias("n"), F.bool_and(c("x") >= 0).alias("in_range"), F.bool_and(good).alias("wellformed"), (F.approx_count_distinct("u") > F.count("*") / 2).alias("spread"))
 
 
 @Q.add("at_timezone", "SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS tokyo FROM events")

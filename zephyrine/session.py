@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,15 +28,39 @@ def session(name: str = "zephyrine", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only where there are no other machines may it be unset."""
+    said = spark.conf.get("spark.checkpoint.dir", None)
+    if said:
+        return said.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="zephyrine-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
 def ship(spark: SparkSession | None = None) -> None:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package.
 
-    Workers start with the environment kept on the context, so an entry in ``PYTHONPATH`` is enough
-    wherever the package lies at the same path on every machine.
+    In local mode they find it where the driver does. On a cluster it is sent to the executors as an archive,
+    once a context, so it need not be installed there.
     """
     spark = spark or SparkSession.active()
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        env = sc.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    elif not getattr(sc, "_zephyrine_sent", False):
+        path = os.path.join(tempfile.mkdtemp(prefix="zephyrine-"), "zephyrine.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(os.path.join(root, "zephyrine")):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(path)
+        sc._zephyrine_sent = True

@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zephyrine.functions.jsons import values
+
 
 def json_source(df: DataFrame, array: Column, name: str, kind: str) -> DataFrame:
-    """A row for each element of a JSON array (text), cast to ``kind``; NULL arrays give none."""
-    return df.select("*", F.explode(F.from_json(array, f"array<{kind}>")).alias(name))
+    """A row for each element of a JSON array (text), cast to ``kind`` (``variant`` for any); NULL arrays give
+    none, other JSON values raise."""
+    elements = values(array)
+    return df.select("*", F.explode(elements).alias(name)).withColumn(name, F.col(name).cast(kind))
 
 
 def parse_rows(text: str) -> list[dict]:
