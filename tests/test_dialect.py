@@ -1,7 +1,10 @@
+import decimal
+
 import pytest
 
 from zephyrine.plans import procedures
-from zephyrine.plans.dialect import Engine, tokens
+from zephyrine.plans.dialect import Engine
+from zephyrine.plans.lexer import tokens
 
 
 @pytest.fixture
@@ -82,15 +85,31 @@ def test_tokens():
         Engine(None).sql("  ")
 
 
+def test_profile(engine):
+    said = [r.plan for r in engine.sql("explain (profile) select id from test where id > 1").collect()]
+    assert said[0] == "rows: 3" and said[1].startswith("seconds: ")
+
+
+@pytest.mark.parametrize("text", ["select 1 +", "select (1", "select 1 is 2", "select case 1 when 1 then 2", "select 1 2", "select id from", "select 1 between 0", "select x at 1", "foo"])
+def test_refused(engine, text):
+    with pytest.raises(Exception):
+        engine.sql(text).collect()
+
+
+def test_kinds(engine):
+    one = lambda text: engine.sql(f"select {text} as x").first().x
+    assert one("7 * 3 / 2") == 10 and one("(3 + 4) / 2") == 3 and one("10 - 4 - 3") == 3 and one("2 + 3 * 4 % 5") == 4
+    assert one("7 / 2.0") == decimal.Decimal("3.5") and one("1.25 * 1.5") == decimal.Decimal("1.875") and one("10.00 / 3") == decimal.Decimal("3.33")
+    assert one("not 0") is True and one("not 'a'") is False and one("false and null") is None and one("false or null") is False
+    assert one("1 + 1 = any ([2])") is True and one("1 = all ([1, null])") is None
+    assert one("""{"a": [1, {"b": "x"}]}.a[1].b::string""") == "x"
+    assert one("json_decode('[1, [2, 3]]')[1][0]::int") == 2
+    assert one("vector [1, 2] + vector [3, 4]") == [4.0, 6.0]
+    assert one("case when 0 then 1 when 2 then 5 end") == 5
+    assert one("date '2024-03-01' - date '2024-02-28'") == 2
+
+
 def test_procedures(spark):
-    p = procedures.Procedures(spark)
-    p.create("upto", [("n", "BIGINT")], "DECLARE s BIGINT DEFAULT 0; WHILE n > 0 DO SET s = s + n; SET n = n - 1; END WHILE; SELECT s AS s;")
-    assert p.call("upto", 4).first().s == 10
-    with pytest.raises(ValueError):
-        p.call("upto")
-    with pytest.raises(ValueError):
-        p.create("upto", [], "")
-    p.drop("upto")
     assert [procedures.literal(v) for v in (None, True, "a'b", 1.5)] == ["NULL", "TRUE", "'a\\'b'", "1.5"]
     procedures.scalar_function(spark, "zephyrine_twice", "x int", "int", "x * 2")
     assert spark.sql("SELECT zephyrine_twice(4) AS x").first().x == 8

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 
 def scalar_function(spark: SparkSession, name: str, args: str, returns: str, body: str) -> None:
@@ -20,28 +24,9 @@ def run(spark: SparkSession, body: str) -> DataFrame:
     return spark.sql(f"BEGIN {body} END")
 
 
-class Procedures:
-    """Named blocks with arguments, called at the top level."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.known: dict[str, tuple[list[tuple[str, str]], str]] = {}
-
-    def create(self, name: str, args: list[tuple[str, str]], body: str, replace: bool = False) -> None:
-        if name in self.known and not replace:
-            raise ValueError(f"{name} exists")
-        self.known[name] = (args, body)
-
-    def drop(self, name: str) -> None:
-        del self.known[name]
-
-    def call(self, name: str, *values) -> DataFrame:
-        """EXECUTE name(values): constants only, as many as arguments."""
-        args, body = self.known[name]
-        if len(args) != len(values):
-            raise ValueError(f"{name} takes {len(args)} arguments")
-        said = "".join(f"DECLARE {a} {kind} DEFAULT {literal(v)}; " for (a, kind), v in zip(args, values))
-        return run(self.spark, said + body)
+def native_function(spark: SparkSession, name: str, f: Callable, returns: str) -> None:
+    """A function written in Python over Arrow arrays, for any query; replaced if it exists."""
+    spark.udf.register(name, F.arrow_udf(f, returns, ArrowUDFType.SCALAR))
 
 
 def literal(v) -> str:

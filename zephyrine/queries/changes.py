@@ -187,6 +187,31 @@ def udf_table(t):
     return t.spark.sql("SELECT * FROM nations_of(2)")
 
 
+@Q.add("udf_native", "SELECT p_partkey, CAST(p_size * p_size AS BIGINT) AS x FROM part")
+def udf_native(t):
+    """A function in Python over Arrow arrays, called from the dialect."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def squared(x: pa.Array) -> pa.Array:
+        return pc.multiply(x, x)
+
+    procedures.native_function(t.spark, "zephyrine_squared", squared, "bigint")
+    return engine(t, "part").sql("select p_partkey, zephyrine_squared(p_size::int) as x from part")
+
+
+@Q.add("group_check", "SELECT true AS refused")
+def group_check(t):
+    """A column that is neither grouped nor aggregated is refused."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        engine(t, "nation").sql("select n_name, count(*) as n from nation group by n_regionkey")
+    except AnalysisException:
+        return t.spark.range(1).select(F.lit(True).alias("refused"))
+    raise AssertionError("not refused")
+
+
 @Q.add("proc_while", "SELECT CAST(5050 AS BIGINT) AS total")
 def proc_while(t):
     return procedures.run(t.spark, "DECLARE i BIGINT DEFAULT 0; DECLARE total BIGINT DEFAULT 0; WHILE i < 100 DO SET i = i + 1; SET total = total + i; END WHILE; SELECT total AS total;")
@@ -205,6 +230,31 @@ def proc_for(t):
     )
 
 
+@Q.add(
+    "show_sections",
+    """SELECT * FROM (VALUES ('constraints', 'primary key', 'n_nationkey'), ('constraints', 'not null', 'n_regionkey'), ('constraints', 'unique', 'n_nationkey'), ('partitions', 'base', '0'), ('partitions', 'delta', '1'),
+       ('metrics', 'tables', '1'), ('metrics', 'topics', '1'), ('metrics', 'subscriptions', '1'), ('metrics', 'deltas', '1'), ('metrics', 'log_folders', '1'), ('log', 'n', '5'), ('lsn', 'lsn', '5')) v(section, item, said)""",
+)
+def show_sections(t):
+    s = store(t)
+    s.create_table("n", "n_nationkey int, n_regionkey int", ["n_nationkey"], filled=["n_regionkey"])
+    s.create_topic("top")
+    s.create_subscription("sub", "n")
+    s.create_index("n", "i", ["n_nationkey"], unique=True)
+    s.commit("n", dml.insert(s.table("n"), t.nation.select("n_nationkey", "n_regionkey"), ["n_nationkey"], filled=["n_regionkey"]))
+    parts = [
+        s.show("constraints").select(F.lit("constraints").alias("section"), c("kind").alias("item"), c("columns").alias("said")),
+        s.show("partitions").select(F.lit("partitions"), "kind", c("folders").cast("string")),
+        s.show("metrics").select(F.lit("metrics"), "name", c("value").cast("string")),
+        s.show("log").select(F.lit("log"), "rel", c("lsn").cast("string")),
+        s.show("lsn").select(F.lit("lsn"), F.lit("lsn"), c("lsn").cast("string")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 @Q.add("cdc_rollback", f"SELECT CAST(3 AS BIGINT) AS lsn, 'write' AS cmd, {event('n_nationkey', 'n_regionkey')} AS data FROM nation")
 def cdc_rollback(t):
     """What a block did that was rolled back reaches no subscriber."""

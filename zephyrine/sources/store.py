@@ -319,6 +319,23 @@ class Store:
         self.table(name).withColumnsRenamed(self.now["tables"][name]["physical"]).write.parquet(folder)
         self._commit(lambda head, _: head["tables"][name].update({"base": [folder], "deltas": []}))
 
+    def vacuum(self, heads: int = 2) -> int:
+        """Remove head files but the last ones, and data folders that none of these names; readers of older
+        versions fail from then on. How many folders went."""
+        names = sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(self.root)) if x.getPath().getName().startswith("head-"))
+        kept = names[-max(heads, 1) :]
+        used = {f for n in kept for t in json.loads(self.spark.read.text(f"{self.root}/{n}", wholetext=True).first()[0])["tables"].values() for f in (*t["base"], *t["deltas"])}
+        used = {f.rpartition("/")[2] for f in used}
+        for n in names[: -len(kept)]:
+            self._fs.delete(self._path(f"{self.root}/{n}"), False)
+        gone, data = 0, self._path(f"{self.root}/data")
+        for table in self._fs.listStatus(data) if self._fs.exists(data) else []:
+            for folder in self._fs.listStatus(table.getPath()):
+                if folder.getPath().getName() not in used:
+                    self._fs.delete(folder.getPath(), True)
+                    gone += 1
+        return gone
+
     def identities(self, name: str, rows: DataFrame) -> DataFrame:
         """``rows``, written out, with the identity column numbered on from the last commit's, without gaps."""
         spec = self.now["tables"][name]
@@ -418,8 +435,28 @@ class Store:
     # catalog
 
     def show(self, section: str) -> DataFrame:
-        """What there is: tables, indexes, columns, topics, subscriptions, clones or state."""
+        """What there is, by section: tables, columns, indexes, constraints, partitions, clones, topics,
+        subscriptions, log, config, metrics, state, lsn or version."""
         now, make = self.now, self.spark.createDataFrame
+        if section == "constraints":
+            found = [(n, "primary key", ",".join(t["key"])) for n, t in now["tables"].items()]
+            found += [(n, "not null", c) for n, t in now["tables"].items() for c in t["filled"]]
+            found += [(n, "default", f"{c}={v}") for n, t in now["tables"].items() for c, v in t["defaults"].items()]
+            found += [(n, "unique", ",".join(i["columns"])) for n, t in now["tables"].items() for i in t["indexes"].values() if i["unique"]]
+            return make(found, "name string, kind string, columns string")
+        if section == "partitions":
+            found = [(n, kind, len(t[of])) for n, t in now["tables"].items() for kind, of in (("base", "base"), ("delta", "deltas"))]
+            return make(found, "name string, kind string, folders int")
+        if section == "log":
+            return make([(r, int(n[4:16])) for r, names in now["log"].items() for n in names], "rel string, lsn long")
+        if section == "config":
+            return make(sorted(self.spark.sparkContext.getConf().getAll()), "name string, value string")
+        if section == "metrics":
+            counts = [("tables", len(now["tables"])), ("topics", len(now["topics"])), ("subscriptions", len(now["subscriptions"]))]
+            counts += [("deltas", sum(len(t["deltas"]) for t in now["tables"].values())), ("log_folders", sum(map(len, now["log"].values())))]
+            return make(counts, "name string, value int")
+        if section in ("lsn", "version"):
+            return make([(now[section],)], f"{section} long")
         if section == "tables":
             return make([(n, ",".join(t["key"]), len(t["deltas"])) for n, t in now["tables"].items()], "name string, key string, deltas int")
         if section == "columns":
