@@ -212,3 +212,53 @@ def test_watch(spark):
     with pytest.raises(TimeoutError):
         streams.watch(lambda: False, every=0.01, most=0.05)
     streams.watch_sql(spark, "1 + 1 = 2")
+
+
+def test_vacuum(spark, store):
+    """Only what the kept heads name stays; the table reads as before."""
+    store.create_table("t", KV, ["id"])
+    for i in range(12):
+        store.commit("t", dml.insert(store.table("t"), make(spark, (i, i)), ["id"]))
+    before = rows(store.table("t"))
+    assert store.vacuum(1) > 0 and store.vacuum(1) == 0
+    assert rows(store.table("t")) == before == {i: i for i in range(12)}
+    assert rows(Store(spark, store.root).table("t")) == before
+
+
+def test_rolled_back_events(spark, store):
+    """Neither a subscription, nor a stream, nor a replay sees what was rolled back; in a block, the last event of a key holds."""
+    store.create_table("t", KV, ["id"])
+    store.create_subscription("s", "t")
+    store.begin()
+    store.commit("t", dml.insert(store.table("t"), make(spark, (1, 1)), ["id"]))
+    store.end(commit=False)
+    store.begin()
+    store.commit("t", dml.insert(store.table("t"), make(spark, (2, 2), (3, 3)), ["id"]))
+    store.commit("t", dml.update(store.table("t"), ["id"], {"data": c("data") + 5}))
+    store.commit("t", dml.delete(store.table("t"), ["id"], c("id") == 3))
+    store.end()
+    assert [(r.cmd, r.data) for r in store.subscription("s").collect() if '"id":2' in r.data] == [("write", '{"id":2,"data":2}'), ("write", '{"id":2,"data":7}')]
+    assert rows(streams.replay(store.log("s"), "id", KV)) == {2: 7} == rows(store.table("t"))
+    seen = []
+    streams.deliver(store, "t", lambda df, _: seen.extend(r.data for r in df.collect()), f"{store.root}/progress").awaitTermination()
+    assert len(seen) == 5 and not any('"id":1' in x for x in seen)
+
+
+def test_interrupted_commit_shows_its_log(spark, store):
+    """A store that ended between its head and the log's final names puts them right when it is opened."""
+    store.create_table("t", KV, ["id"])
+    store.create_subscription("s", "t")
+    store._show_log = lambda: None
+    store.commit("t", dml.insert(store.table("t"), make(spark, (1, 1)), ["id"]))
+    assert store.subscription("s").count() == 1
+    again = Store(spark, store.root)
+    assert again.subscription("s").count() == 1
+    assert not any(x.getPath().getName().startswith(".lsn") for x in again._fs.listStatus(again._path(again.log_path("t"))))
+
+
+def test_identities_have_no_gaps(spark, store):
+    store.create_table("t", "id long, data int", ["id"], identity="id")
+    for n in (5, 7, 0):
+        new = store.identities("t", spark.range(n).select(c("id").cast("int").alias("data")).repartition(3))
+        store.commit("t", dml.insert(store.table("t"), new, ["id"]))
+    assert sorted(r.id for r in store.table("t").collect()) == list(range(12))

@@ -68,7 +68,7 @@ class Store:
         """Give log folders that the head names their final names, by which streams find them."""
         for rel, names in self.head["log"].items():
             for name in names[-8:]:
-                hidden = self._path(f"{self.log_path(rel)}/_{name}")
+                hidden = self._path(f"{self.log_path(rel)}/.{name}")
                 if self._fs.exists(hidden):
                     self._fs.rename(hidden, self._path(f"{self.log_path(rel)}/{name}"))
 
@@ -360,7 +360,7 @@ class Store:
     def _append(self, head: dict, rel: str, lsn: int, events: DataFrame) -> None:
         """Write events, and name their folder in the head to be; until that is swapped in, no reader sees it."""
         name = f"lsn={lsn:012d}-{uuid.uuid4().hex}"
-        events.select(*EVENTS.fieldNames()).write.parquet(f"{self.log_path(rel)}/_{name}")
+        events.select(*EVENTS.fieldNames()).write.parquet(f"{self.log_path(rel)}/.{name}")
         head["log"].setdefault(rel, []).append(name)
 
     def _log(self, head: dict, rel: str, lsn: int, rows: DataFrame, key: Sequence[str], schema: T.StructType) -> None:
@@ -399,7 +399,7 @@ class Store:
         folders = []
         for n in names:
             shown = f"{self.log_path(s['rel'])}/{n}"
-            folders.append(shown if self._fs.exists(self._path(shown)) else f"{self.log_path(s['rel'])}/_{n}")
+            folders.append(shown if self._fs.exists(self._path(shown)) else f"{self.log_path(s['rel'])}/.{n}")
         if not folders:
             return self.spark.createDataFrame([], EVENTS)
         return self.spark.read.schema(EVENTS).parquet(*folders)
