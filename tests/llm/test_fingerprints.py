@@ -1,5 +1,6 @@
 import hashlib
 
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -54,7 +55,8 @@ def key(r):
 
 def by_hand(docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+    mark = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64)
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), mark(r[1]) if r[0] is None else 0, r[1] is not None, r[1] or ""))
     out = []
     for i, (k, text) in enumerate(rows):
         text, other = text or "", rows[(i + 1) % len(rows)][1] or ""
@@ -71,6 +73,9 @@ def test_against_next(docs, empty, spark):
     one = spark.createDataFrame([(1, "alone in the table, with some words to spare")], "doc_id long, text string")
     assert [tuple(r) for r in fp.against_next(one).collect()] == by_hand(one)
     assert fp.against_next(empty).count() == 0
+    nulls = spark.createDataFrame([(None, f"text number {i % 50}") for i in range(120)] + [(None, None), (5, "x")], "doc_id long, text string")
+    for n in (1, 7, 40):
+        assert sorted((tuple(r) for r in fp.against_next(nulls, n).collect()), key=key) == by_hand(nulls)
     nulls = spark.createDataFrame([(None, "a text"), (None, None)], "doc_id long, text string")
     assert sorted((tuple(r) for r in fp.against_next(nulls).collect()), key=key) == by_hand(nulls)
 

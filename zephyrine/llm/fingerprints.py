@@ -12,6 +12,7 @@ The gear hash is a sum over a window, so all positions of a batch are hashed at
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -171,7 +172,8 @@ def against_next(docs: DataFrame, partitions: int | None = None, doc_id: str = "
     """EDITED for every row: its text's fingerprint against that of its edited text and that of the next
     document, in descending order of doc_id; the first comes after the last.
 
-    Rows with one id follow one another by text; rows without an id come last. Null texts count as empty.
+    Rows with one id follow one another by text; rows without an id come last, by a hash of the text. Null texts
+    count as empty.
     A single row is its own next one. An empty table gives no rows.
 
     Rows are dealt by ranges of ids, so only each range's first row has to be known to another: it is
@@ -183,24 +185,27 @@ def against_next(docs: DataFrame, partitions: int | None = None, doc_id: str = "
     rows = docs.select(*common.id_text(docs, doc_id, text))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []), reverse=True)
-    # range 0 has the largest ids; rows without an id are in the last
+    # range 0 has the largest ids; rows without an id are dealt to ranges of their own
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(
-        F.aggregate(bounds, F.lit(0), lambda acc, c: acc + (F.col("doc_id") < c).cast("int"))
-    )
-    ranges = len(cuts) + 1
-    firsts = rows.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("doc_id")).orderBy("part").collect()
-    heads = [(r["part"], r["doc_id"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)]
+    mark = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit(""))))
+    seen = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("named")).first()
+    bits = min(16, max(1, math.ceil(math.log2(max(1.0, (seen["n"] - seen["named"]) * n / max(seen["n"], 1))))))
+    last = F.shiftright(mark, 64 - bits).cast("int") + (1 << (bits - 1)) + len(cuts) + 1
+    part = F.when(F.col("doc_id").isNull(), last).otherwise(F.aggregate(bounds, F.lit(0), lambda acc, c: acc + (F.col("doc_id") < c).cast("int")))
+    ranges = len(cuts) + 1 + (1 << bits)
+    marked = rows.withColumn("mark", mark)
+    firsts = marked.select(part.alias("part"), "doc_id", "mark").groupBy("part").agg(F.max("doc_id").alias("doc_id"), F.min("mark").alias("mark")).orderBy("part").collect()
+    heads = [(r["part"], r["doc_id"], r["mark"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)]
     if not heads:
-        heads = [(-1, None, -1)]
-    head = F.broadcast(spark.createDataFrame(heads, "part int, head long, before int").coalesce(1))
-    dealt = rows.withColumn("part", part).join(head, "part")
+        heads = [(-1, None, None, -1)]
+    head = F.broadcast(spark.createDataFrame(heads, "part int, head long, head_mark long, before int").coalesce(1))
+    dealt = marked.withColumn("part", part).join(head, "part")
     here = F.struct(F.col("part").alias("part"), F.lit(0).alias("extra"))
     there = F.struct(F.col("before").alias("part"), F.lit(1).alias("extra"))
-    places = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(here, there)).otherwise(F.array(here))
-    dealt = dealt.select("doc_id", "text", F.inline(places))
+    first = F.col("doc_id").eqNullSafe(F.col("head")) & F.col("mark").eqNullSafe(F.col("head_mark"))
+    dealt = dealt.select("doc_id", "mark", "text", F.inline(F.when(first, F.array(here, there)).otherwise(F.array(here))))
     ordered = dealt.repartitionById(ranges, F.col("part")).sortWithinPartitions(
-        "extra", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text")
+        "extra", F.desc_nulls_last("doc_id"), "mark", F.asc_nulls_first("text")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
