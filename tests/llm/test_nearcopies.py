@@ -76,20 +76,25 @@ def test_empty(empty):
 
 
 def test_bitmaps():
-    """The test by bitmaps turns no similar pair away, and some others."""
+    """The test by bitmaps turns no similar pair away, and most others."""
     rng = np.random.default_rng(5)
-    test, turned = nearcopies.Bitmaps((4, 5)), 0
-    for _ in range(400):
-        base = rng.integers(-(1 << 63), 1 << 63, int(rng.integers(1, 90)))
-        other = np.concatenate([base[: int(rng.integers(0, len(base) + 1))], rng.integers(-(1 << 63), 1 << 63, int(rng.integers(0, 30)))])
-        a, b = np.unique(base), np.unique(other)
-        said = test.near(nearcopies.bitmap(a), len(a), nearcopies.bitmap(b), len(b))
-        both = len(np.intersect1d(a, b))
-        assert said or 5 * both < 4 * (len(a) + len(b) - both)
-        turned += not said
-    assert turned > 100
-    empty = np.zeros(0, np.int64)
-    assert test.near(nearcopies.bitmap(empty), 0, nearcopies.bitmap(empty), 0)
+    any_ = lambda n: rng.integers(-(1 << 63), 1 << 63, n)
+    turned = others = 0
+    for _ in range(30):
+        base = any_(int(rng.integers(1, 200)))
+        own = [np.unique(np.concatenate([base[: int(rng.integers(0, len(base) + 1))], any_(int(rng.integers(0, 30)))])) for _ in range(25)]
+        n = np.array([len(x) for x in own])
+        i, j, _ = nearcopies.near_pairs(n, [nearcopies.bitmap(x) for x in own], (4, 5))
+        said = {(min(x, y), max(x, y)) for x, y in zip(i.tolist(), j.tolist())}
+        for x in range(25):
+            for y in range(x + 1, 25):
+                both = len(np.intersect1d(own[x], own[y]))
+                if 5 * both >= 4 * (n[x] + n[y] - both):
+                    assert (x, y) in said
+                else:
+                    others += 1
+                    turned += (x, y) not in said
+    assert turned > 0.9 * others > 1000
 
 
 def test_blocks(spark, monkeypatch):

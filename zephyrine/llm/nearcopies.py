@@ -1,19 +1,21 @@
 """Near copies by SimHash, completed to an exact bound: Jaccard similarity of word shingles, none missed.
 
-Candidates come from three sources and every one is verified on the whole sets of distinct shingles.
+Links are verified on the whole sets of distinct shingles. Candidates come from two sources.
 
 * SimHash (:mod:`simhash`): fingerprints over the same shingles, linked by deletion variants.
 * What fingerprints cannot reach: at a similarity of 0.8 two fingerprints differ in about 10 of 64 bits, for
   which no cut into segments leaves one difference in a segment long enough to select. In any fixed order of
   all shingles, two sets that similar share one of their first ``n - ceil(bound * n) + 1`` (prefix filter;
   Chaudhuri, Ganti and Kaushik, 2006). Shingles of many texts come last in the order; which they are is
-  estimated from a sample, which changes the work that is done, never the pairs that are found. What shares a
-  first shingle is paired with the least and the greatest of its sets.
-* Of sets that share a first shingle and are then still in different components, all pairs are compared, in
-  blocks, by the next test.
-
-Before sets are compared, so are bitmaps of them: a bit in which two differ stands for a shingle that only one
-has, so pairs with too many such bits are not similar, for certain (Sandes, Teodoro and Melo, 2020).
+  estimated from a sample, which changes the work that is done, never the pairs that are found.
+
+Sets that share a first shingle are grouped under the least of them, their hub. Shingles of one crowd of near
+copies mostly have the same few hubs, so a set is in few groups, and any two sets that share a first shingle
+are in one. Within a group, sets of different components are compared by bitmaps: a bit in which two differ
+stands for a shingle that only one has, so pairs with too many such bits are not similar, for certain (Sandes,
+Teodoro and Melo, 2020). Of the others, first only a forest of the closest is verified. Sets that may then still
+be similar to one of another component are brought together whole, group by group, and linked where they are.
+Large groups are dealt in blocks, and no group yields all its pairs.
 """
 
 from __future__ import annotations
@@ -39,8 +41,6 @@ SAMPLE, OFTEN, TOLD = 8, 3, 500_000
 BROADCAST = 1_000_000
 #: Sets that are compared at once, and bytes of their bitmaps.
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
-#: Base of the logarithm by which sizes are kept as a byte.
-STEP = 1.06
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -49,36 +49,45 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """Two bits or more a shingle, each shingle sets one; a whole power of two of them."""
-    width = max(64, 1 << (2 * len(own) - 1).bit_length()) if len(own) else 64
+    """Four bits or more a shingle, each shingle sets one; a whole power of two of them, and whole words."""
+    width = 1 << max(6, (4 * len(own) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[own & (width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-class Bitmaps:
-    """Bitmaps as whole numbers, folded to the narrower of two."""
-
-    def __init__(self, similar: tuple[int, int]):
-        self.p, self.q = similar
-
-    def fits(self, n: int, m: int) -> bool:
-        """Whether sets of these sizes can be similar."""
-        return n * self.q >= m * self.p and m * self.q >= n * self.p
-
-    def near(self, a: bytes, n: int, b: bytes, m: int) -> bool:
-        """Whether sets with these bitmaps and sizes may be similar; if not, they are not."""
-        if not self.fits(n, m):
-            return False
-        x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
-        wide, narrow = 8 * len(a), 8 * len(b)
-        if wide < narrow:
-            x, y, wide, narrow = y, x, narrow, wide
-        while wide > narrow:
-            wide //= 2
-            x = (x >> wide) | (x & ((1 << wide) - 1))
-        need = -(-self.p * (n + m) // (self.p + self.q))
-        return (x ^ y).bit_count() <= n + m - 2 * need
+def near_pairs(n: np.ndarray, bits: list[bytes], similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs of sets (by their sizes and bitmaps) that may be similar, and how far below what is allowed
+    their differing bits are; all others are not similar. A wider bitmap is folded to the narrower one's width."""
+    p, q = similar
+    order = np.argsort(n, kind="stable")
+    n = n[order]
+    maps: dict[int, np.ndarray] = {}
+    widths = np.array([len(bits[i]) for i in order]) // 8
+    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))]
+    # by size, widths ascend
+    edges = np.append(np.flatnonzero(np.append(True, widths[1:] != widths[:-1])), len(n))
+    for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
+        width = int(widths[lo])
+        # what is wider is folded, as far as sizes allow a pair at all
+        top = int(np.searchsorted(n, n[hi - 1] * q // p, side="right"))
+        rows = np.empty((top - lo, width), np.uint64)
+        for k in range(lo, top):
+            x = np.frombuffer(bits[order[k]], np.uint64)
+            while len(x) > width:
+                x = x[: len(x) // 2] | x[len(x) // 2 :]
+            rows[k - lo] = x
+        for k in range(lo, hi):
+            end = int(np.searchsorted(n, n[k] * q // p, side="right"))
+            if end <= k + 1:
+                continue
+            both = n[k] + n[k + 1 : end]
+            allowed = both - 2 * -(-p * both // (p + q))
+            differ = np.bitwise_count(rows[k + 1 - lo : end - lo] ^ rows[k - lo]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero(differ <= allowed)
+            out.append((np.full(len(near), k), near + k + 1, (allowed - differ)[near]))
+    i, j, room = (np.concatenate(x) for x in zip(*out))
+    return order[i], order[j], room
 
 
 def _name(own: np.ndarray) -> int:
@@ -166,136 +175,184 @@ def _narrow(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST else keys
 
 
-def shared_first(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Sets that share a first shingle: pairs with the least and the greatest set (``u, v``), and the whole
-    group (``own``) where three sets or more do."""
-    # sizes by their logarithm, rounded down: that far apart at most, or one more
-    most = int(np.log(similar[1] / similar[0]) / np.log(STEP)) + 1
-    entries = found.agg(F.sum(F.length("first"))).first()[0] or 0
-    rows = found.where("first is not null").select("set", "n", "first")
+def hubs(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """``hub, set``: of each group of sets that share a first shingle, the least set and every other."""
+    entries = (found.agg(F.sum(F.length("first"))).first()[0] or 0) // 8
+    rows = found.where("first is not null").select("set", "first")
 
     def make():
         def step(batch):
-            first = batch.column(2)
+            first = batch.column(1)
             times = np.array([len(x.as_buffer()) // 8 for x in first], np.int64)
             keys = np.frombuffer(b"".join([x.as_py() for x in first]), np.uint64)
-            size = np.minimum(np.log(np.maximum(batch.column(1).to_numpy(), 1)) / np.log(STEP), 255).astype(np.uint8)
-            return keys, np.repeat(batch.column(0).to_numpy(), times), np.repeat(size, times)
+            return keys, np.repeat(batch.column(0).to_numpy(), times)
 
         return step
 
-    def handle(value, size, starts, counts):
-        size = size.astype(int)
-        u, v = [], []
-        for hub in (starts, starts + counts - 1):
-            at = np.repeat(hub, counts)
-            near = (value != value[at]) & (np.abs(size - size[at]) <= most)
-            u.append(value[near])
-            v.append(value[at][near])
-        yield from packed.pairs(np.concatenate(u), np.concatenate(v))
-        # shingles of one passage have the same group: it is given once
-        more = counts > 2
-        sums = np.add.reduceat(packed.mixed(value), starts)
-        _, one = np.unique(np.stack([sums[more], counts[more].astype(np.uint64)]), axis=1, return_index=True)
-        yield from packed.lists(value, starts[more][one], counts[more][one])
-
-    return common.cut(packed.meet(packed.deal(rows, make, packed.parts_for(found, entries // 8)), handle))
-
-
-def _bitmapped(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Those of ``u, v, a, n, b, m`` (bitmaps and sizes) that may be similar."""
-    common.ship(rows.sparkSession)
+    def handle(value, starts, counts):
+        hub = np.repeat(value[starts], counts)
+        other = value != hub
+        yield from packed.pairs(hub[other], value[other])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = Bitmaps(similar)
-        for batch in batches:
-            _, _, a, n, b, m = (c.to_pylist() for c in batch.columns)
-            mask = pa.array([test.near(*x) for x in zip(a, n, b, m)], pa.bool_())
-            yield batch.select([0, 1]).filter(mask)
+    met = packed.meet(packed.deal(rows, make, packed.parts_for(found, entries)), handle)
+    return common.cut(met.select(F.col("u").alias("hub"), F.col("v").alias("set")).distinct())
+
+
+def _wholes_of(need: DataFrame, found: DataFrame, marked: DataFrame, words: int) -> DataFrame:
+    """:func:`wholes` of the distinct sets ``need``, written out."""
+    marks = found.select("set", "mark").join(_narrow(need), "set").groupBy("set").agg(F.min("mark").alias("mark")).select("mark")
+    texts = marked.join(_narrow(marks.distinct()), "mark").select("mark", "text")
+    return common.cut(wholes(texts, words).dropDuplicates(["set"]))
 
-    return rows.select("u", "v", "a", "n", "b", "m").mapInArrow(run, "u long, v long")
+
+def _alike(a: np.ndarray, b: np.ndarray, similar: tuple[int, int]) -> bool:
+    p, q = similar
+    return len(np.intersect1d(a, b, assume_unique=True)) * (p + q) >= p * (len(a) + len(b))
 
 
 def _similar(pairs: DataFrame, found: DataFrame, marked: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
     """Those of the distinct pairs ``u, v`` whose whole sets are similar."""
-    p, q = similar
     pairs = common.cut(pairs)
-    need = pairs.select(F.col("u").alias("set")).union(pairs.select("v")).distinct()
-    marks = found.select("set", "mark").join(_narrow(need), "set").groupBy("set").agg(F.min("mark").alias("mark")).select("mark")
-    texts = marked.join(_narrow(marks.distinct()), "mark").select("mark", "text")
-    whole = common.cut(wholes(texts, words).dropDuplicates(["set"]))
+    whole = _wholes_of(pairs.select(F.col("u").alias("set")).union(pairs.select("v")).distinct(), found, marked, words)
     both = pairs.join(whole.select(F.col("set").alias("u"), F.col("own").alias("a")), "u")
     both = both.join(whole.select(F.col("set").alias("v"), F.col("own").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(x.as_buffer() or b"", np.int64), np.frombuffer(y.as_buffer() or b"", np.int64)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                mask.append(shared * (p + q) >= p * (len(a) + len(b)))
+            mask = [_alike(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), similar) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(mask, pa.bool_()))
 
-    return common.cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+    return common.cut(both.select("u", "v", "a", "b").mapInArrow(common.released(run), "u long, v long"))
+
+
+class Forest:
+    """Trees of roots, joined by links."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
+    def top(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
 
-def _with_bitmaps(pairs: DataFrame, info: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    rows = pairs.join(info.select(F.col("set").alias("u"), F.col("n"), F.col("bits").alias("a")), "u")
-    rows = rows.join(info.select(F.col("set").alias("v"), F.col("n").alias("m"), F.col("bits").alias("b")), "v")
-    return _bitmapped(rows, similar)
+    def joins(self, x: int, y: int) -> bool:
+        """Whether two roots were apart; they are not afterwards."""
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self.up[x] = y
+        return x != y
 
 
-def _apart(groups: DataFrame, roots: DataFrame, info: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs within a group (``own``) that are in different components and may be similar by their bitmaps."""
-    common.ship(groups.sparkSession)
-    rows = groups.select(F.xxhash64("own").alias("group"), "own").dropDuplicates(["group"])
-    rows = rows.select("group", F.explode("own").alias("set")).join(roots, "set", "left")
-    rows = common.cut(rows.select("group", "set", F.coalesce("root", "set").alias("root")))
-    still = rows.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("group")
-    rows = common.cut(rows.join(still, "group").join(info, "set"))
-    sizes = rows.groupBy("group").agg(F.count("*").alias("sets"), F.sum(F.length("bits")).alias("bytes"))
+def _dealt(rows: DataFrame, size: str) -> DataFrame:
+    """``a, b, own``: the rows of each group (``hub``), in blocks of so many rows or bytes of a column: two blocks, or
+    one and the same, and the structs ``set, root, n, <size>, mine`` of their rows."""
+    sizes = rows.groupBy("hub").agg(F.count("*").alias("sets"), F.sum(F.length(size)).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    rows = rows.join(sizes.select("group", blocks.alias("blocks")), "group")
+    large = _narrow(sizes.select("hub", blocks.alias("blocks")).where("blocks > 1"))
+    rows = rows.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    one = F.struct("set", "root", "n", "bits", "mine")
-    dealt = rows.groupBy("group", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")).agg(F.collect_list(one).alias("own"))
+    one = F.struct("set", "root", "n", size, "mine")
+    out = rows.groupBy("hub", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")).agg(F.collect_list(one).alias("own"))
+    return out.select("a", "b", "own", "hub")
+
+
+def _between(own: pa.StructArray, a: int, b: int, bits: list[bytes], similar: tuple[int, int]):
+    """Names and roots of a block's sets, and the places of those pairs of different roots (and of both blocks) that
+    may be similar, the closest first."""
+    name, root, mine, n = (own.field(k).to_numpy(zero_copy_only=False) for k in ("set", "root", "mine", "n"))
+    i, j, room = near_pairs(n, bits, similar)
+    use = root[i] != root[j]
+    if a != b:
+        use &= mine[i] != mine[j]
+    i, j, room = i[use], j[use], room[use]
+    order = np.argsort(-room, kind="stable")
+    return name, root, i[order], j[order]
+
+
+def _closest(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Pairs ``u, v`` of sets in a group (``hub, set, root, n, bits``) that may be similar: a forest of the closest that
+    connects what all of them would."""
+    common.ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                name, root, i, j = _between(own.values, a, b, own.values.field("bits").to_pylist(), similar)
+                trees = Forest()
+                kept = [k for k, (x, y) in enumerate(zip(root[i].tolist(), root[j].tolist())) if trees.joins(x, y)]
+                yield from packed.pairs(name[i[kept]], name[j[kept]])
+
+    return _dealt(rows, "bits").select("a", "b", "own").mapInArrow(common.released(run), packed.MET).select("u", "v").distinct()
+
+
+def _undecided(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """``hub, set`` of the sets in a group that may be similar to one of another component."""
+    common.ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, fits = Bitmaps(similar).near, Bitmaps(similar).fits
         for batch in batches:
-            for a, b, own in zip(*(c.to_pylist() for c in batch.columns)):
-                own.sort(key=lambda x: x["n"])
-                u, v = [], []
-                for i, x in enumerate(own):
-                    for j in range(i + 1, len(own)):
-                        y = own[j]
-                        if not fits(x["n"], y["n"]):
-                            break
-                        if x["root"] != y["root"] and (a == b or x["mine"] != y["mine"]) and near(x["bits"], x["n"], y["bits"], y["n"]):
-                            u.append(x["set"])
-                            v.append(y["set"])
+            for a, b, own, hub in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                name, _, i, j = _between(own.values, a, b, own.values.field("bits").to_pylist(), similar)
+                left = name[np.unique(np.concatenate([i, j]))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), hub, np.int64)), pa.array(left)], names=["hub", "set"])
+
+    return _dealt(rows, "bits").mapInArrow(common.released(run), "hub long, set long").distinct()
+
+
+def _linked(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """``u, v``: links of similar sets in a group (``hub, set, root, n, own`` with whole sets) that connect what all
+    such links would."""
+    common.ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                whole = [np.frombuffer(x, np.int64) for x in own.values.field("own").to_pylist()]
+                name, root, i, j = _between(own.values, a, b, [bitmap(x) for x in whole], similar)
+                trees, u, v = Forest(), [], []
+                for x, y in zip(i.tolist(), j.tolist()):
+                    r, s = int(root[x]), int(root[y])
+                    if trees.top(r) != trees.top(s) and _alike(whole[x], whole[y], similar):
+                        trees.joins(r, s)
+                        u.append(name[x])
+                        v.append(name[y])
                 yield from packed.pairs(np.array(u, np.int64), np.array(v, np.int64))
 
-    return dealt.select("a", "b", "own").mapInArrow(run, packed.MET).select("u", "v").distinct()
+    return common.cut(_dealt(rows, "own").select("a", "b", "own").mapInArrow(common.released(run), packed.MET).select("u", "v").distinct())
+
+
+def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """``members`` of groups with more than one component, with the component of each."""
+    roots = components(edges).withColumnRenamed("node", "set")
+    rows = members.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    mixed = rows.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("hub")
+    return rows.join(_narrow(mixed), "hub")
 
 
 def groups(found: DataFrame, marked: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """``set, root`` of every set that has a similar one; root is the least of its component."""
-    info = common.cut(found.where("bits is not null").select("set", "n", "bits").dropDuplicates(["set"]))
     # by fingerprints: equal ones, and those that deletion variants link
     prints = common.cut(found.groupBy("fp").agg(F.min("set").alias("least")))
-    same = found.select("fp", "set").distinct().join(prints, "fp").where("set <> least").select(F.col("set").alias("u"), F.col("least").alias("v"))
+    same = found.select("fp", "set").distinct().join(prints, "fp").where("set <> least").select(F.col("least").alias("u"), F.col("set").alias("v"))
     linked = simhash.links(prints.select("fp"))
     linked = linked.join(prints.select(F.col("fp").alias("u"), F.col("least").alias("x")), "u")
-    linked = linked.join(prints.select(F.col("fp").alias("v"), F.col("least").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    linked = linked.join(prints.select(F.col("fp").alias("v"), F.col("least").alias("y")), "v").select("x", "y")
+    linked = linked.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    edges = _similar(same.unionByName(linked).distinct(), found, marked, words, similar)
     # by first shingles
-    met = shared_first(found, similar)
-    star = met.where("u is not null").select("u", "v").unionByName(same).unionByName(linked)
-    edges = _similar(_with_bitmaps(star, info, similar), found, marked, words, similar)
-    roots = components(edges).withColumnRenamed("node", "set")
-    more = _similar(_apart(met.where("own is not null").select("own"), roots, info, similar), found, marked, words, similar)
-    return components(edges.unionByName(more)).withColumnRenamed("node", "set")
+    info = found.where("bits is not null").select("set", "n", "bits").dropDuplicates(["set"])
+    met = hubs(found, similar)
+    every = met.unionByName(met.select("hub", F.col("hub").alias("set")).distinct())
+    members = common.cut(every.join(info, "set"))
+    edges = edges.unionByName(_similar(_closest(_rooted(members, edges), similar), found, marked, words, similar))
+    rows = _rooted(members, edges)
+    left = common.cut(_undecided(rows, similar))
+    whole = _wholes_of(left.select("set").distinct(), found, marked, words)
+    rows = rows.select("hub", "set", "root", "n").join(left, ["hub", "set"]).join(whole, "set")
+    return components(edges.unionByName(_linked(rows, similar))).withColumnRenamed("node", "set")
 
 
 def one_of_each(

@@ -1,7 +1,7 @@
 """Equality joins of very many narrow entries: a key and a signed number each.
 
 Entries are dealt to parts by their key. A task writes those of one part as one packed value, so that a
-shuffle carries 15 bytes an entry and no rows; a part is unpacked, sorted and grouped as arrays. A key is
+shuffle carries 14 bytes an entry and no rows; a part is unpacked, sorted and grouped as arrays. A key is
 kept to 48 bits, and keys that only differ beyond are taken for one: whoever uses the groups verifies what
 met in them.
 """
@@ -17,13 +17,13 @@ from pyspark.sql import types as T
 
 from zephyrine.llm import common
 
-ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("value", "<i8"), ("size", "u1")])
+ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("value", "<i8")])
 #: Entries of a part, on average.
-ENTRIES = 1_000_000
+ENTRIES = 500_000
 #: The pairs ``u, v`` that groups give, or a whole group ``own``.
 MET = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("own", T.ArrayType(T.LongType()))])
 
-Entries = tuple[np.ndarray, np.ndarray, np.ndarray]  # keys (64 bits, unsigned), numbers, sizes (a byte)
+Entries = tuple[np.ndarray, np.ndarray]  # keys (64 bits, unsigned), numbers
 
 
 def parts_for(df: DataFrame, entries: int) -> int:
@@ -39,7 +39,7 @@ def deal(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Entries]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            keys, values, sizes = step(batch)
+            keys, values = step(batch)
             if not len(keys):
                 continue
             part = (keys % np.uint64(parts)).astype(np.int32)
@@ -47,18 +47,18 @@ def deal(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Entries]],
             order = np.argsort(part, kind="stable")
             out = np.empty(len(keys), ENTRY)
             out["low"], out["high"] = (keys & np.uint64(0xFFFFFFFF))[order], (keys >> np.uint64(32) & np.uint64(0xFFFF))[order]
-            out["value"], out["size"] = values[order], sizes[order]
+            out["value"] = values[order]
             part = part[order]
             starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             data = [x.tobytes() for x in np.split(out, starts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(data, pa.binary())], names=["part", "data"])
 
-    return df.mapInArrow(run, "part int, data binary").repartitionById(parts, "part")
+    return df.mapInArrow(common.released(run), "part int, data binary").repartitionById(parts, "part")
 
 
-def meet(dealt: DataFrame, handle: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
+def meet(dealt: DataFrame, handle: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
     """MET rows that ``handle`` makes of a part's groups of two distinct numbers or more: the numbers, group
-    after group and in ascending order, their sizes, where each group begins, and how many it has."""
+    after group and in ascending order, where each group begins, and how many it has."""
     common.ship(dealt.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,21 +68,21 @@ def meet(dealt: DataFrame, handle: Callable[[np.ndarray, np.ndarray, np.ndarray,
         every = np.concatenate(held)
         held.clear()
         key = every["high"].astype(np.uint64) << np.uint64(32) | every["low"]
-        value, size = every["value"].copy(), every["size"].copy()
+        value = every["value"].copy()
         del every
         order = np.lexsort((value, key))
-        key, value, size = key[order], value[order], size[order]
+        key, value = key[order], value[order]
         first = np.append(True, key[1:] != key[:-1])
         new = first | np.append(True, value[1:] != value[:-1])
-        first, value, size = first[new], value[new], size[new]
+        first, value = first[new], value[new]
         starts = np.flatnonzero(first)
         counts = np.diff(np.append(starts, len(value)))
         many = np.repeat(counts > 1, counts)
-        value, size, counts = value[many], size[many], counts[counts > 1]
+        value, counts = value[many], counts[counts > 1]
         if len(counts):
-            yield from handle(value, size, np.cumsum(counts) - counts, counts)
+            yield from handle(value, np.cumsum(counts) - counts, counts)
 
-    return dealt.mapInArrow(run, MET)
+    return dealt.mapInArrow(common.released(run), MET)
 
 
 def pairs(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:

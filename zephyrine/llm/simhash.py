@@ -174,11 +174,11 @@ def links(
         def step(batch):
             fp = batch.column(0).to_numpy().view(np.uint64)
             keys = packed.mixed((fp[:, None] & masks) ^ tags).ravel()
-            return keys, np.repeat(fp.view(np.int64), len(masks)), np.zeros(len(keys), np.uint8)
+            return keys, np.repeat(fp.view(np.int64), len(masks))
 
         return step
 
-    def handle(value, size, starts, counts):
+    def handle(value, starts, counts):
         fp = value.view(np.uint64)
         u, v = [], []
         for n in np.unique(counts[counts <= crowd]).tolist():
