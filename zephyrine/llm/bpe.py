@@ -19,7 +19,7 @@ from zephyrine.llm import common, pretoken
 from zephyrine.llm.pairs import LONGEST, Pairs, merge_one
 
 #: Distinct slices whose ids a worker keeps.
-CACHED = 500_000
+CACHED = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -133,6 +133,9 @@ def codec(shared) -> Codec:
     if shared.id not in _CODECS:
         _CODECS.clear()
         _CODECS[shared.id] = Codec(shared.value)
+        # the tables stay, so the collector need not walk them again
+        gc.collect()
+        gc.freeze()
     return _CODECS[shared.id]
 
 

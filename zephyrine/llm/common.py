@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zephyrine import session
+from zephyrine.session import shared_folder
 
 #: Characters of text that are held in Python objects at once (one longer text stands alone).
 CHARS_AT_ONCE = 1 << 20
 
 
 #: Bytes of a batch that goes to Python, where the session does not say; rows differ much in length.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,31 +28,43 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where there are no other machines may it be unset."""
-    said = spark.conf.get("spark.checkpoint.dir", None)
-    if said:
-        return said.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="zephyrine-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that later steps
-    neither repeat its work nor depend on executors that may be lost."""
+    neither repeat its work nor depend on executors that may be lost.
+
+    What the planner knows of ``df`` (sizes it guessed, constraints that grow with every step) is cut off too.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)._jdf
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give memory that this worker holds but does not use back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: its own ways have to do
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a task's work on batches, with :func:`release` at its end."""
+
+    def to_the_end(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return to_the_end
+
+
 def chunks(
     batches: Iterator[pa.RecordBatch], text: int, limit: int = CHARS_AT_ONCE
 ) -> Iterator[list[list]]:
@@ -110,26 +123,27 @@ def map_texts(
                 [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], names=names
             )
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(released(run), schema)
 
 
 def keep_rows(
     df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[bool]]], limit: int = CHARS_AT_ONCE
 ) -> DataFrame:
-    """Rows of ``df`` for whose text the predicate holds; every column passes through untouched."""
+    """Rows of ``df`` for whose text the predicate holds. Only texts go to Python and only verdicts come back;
+    every column passes through untouched."""
     ship(df.sparkSession)
-    where = df.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.BooleanType())
+    def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         step = make()
-        for batch in batches:
+        for column in batches:
             mask: list[bool] = []
-            only = pa.RecordBatch.from_arrays([batch.column(where)], names=["t"])
-            for (texts,) in chunks(iter([only]), 0, limit):
+            for (texts,) in chunks(iter([pa.RecordBatch.from_arrays([column], names=["t"])]), 0, limit):
                 mask += step(texts)
-            yield batch.filter(pa.array(mask, type=pa.bool_()))
+            yield pa.array(mask, type=pa.bool_())
+        release()
 
-    return df.mapInArrow(run, df.schema)
+    return df.where(holds(F.col(f"`{text}`").cast("string")))
 
 
 def id_text(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list:

@@ -18,7 +18,7 @@ from zephyrine.llm import bpe, common, pretoken
 from zephyrine.llm.pairs import merge_one
 
 #: Distinct pre-tokens outside the proven set whose counts a worker keeps.
-CACHED = 1_000_000
+CACHED = 400_000
 
 
 def byte_chars() -> list[str]:
