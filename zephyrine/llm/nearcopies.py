@@ -261,7 +261,7 @@ def _dealt(rows: DataFrame, size: str) -> DataFrame:
 
 def _between(own: pa.StructArray, a: int, b: int, bits: list[bytes], similar: tuple[int, int]):
     """Names and roots of a block's sets, and the places of those pairs of different roots (and of both blocks) that
-    may be similar, the closest first."""
+    may be similar, the closest first, with how close they are."""
     name, root, mine, n = (own.field(k).to_numpy(zero_copy_only=False) for k in ("set", "root", "mine", "n"))
     i, j, room = near_pairs(n, bits, similar)
     use = root[i] != root[j]
@@ -269,23 +269,26 @@ def _between(own: pa.StructArray, a: int, b: int, bits: list[bytes], similar: tu
         use &= mine[i] != mine[j]
     i, j, room = i[use], j[use], room[use]
     order = np.argsort(-room, kind="stable")
-    return name, root, i[order], j[order]
+    return name, root, i[order], j[order], room[order]
 
 
 def _closest(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs ``u, v`` of sets in a group (``hub, set, root, n, bits``) that may be similar: a forest of the closest that
-    connects what all of them would."""
+    """Pairs ``u, v`` of sets in a group (``hub, set, root, n, bits``) that may be similar: of a forest of the closest,
+    those of which one is the other's closest in all groups."""
     common.ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                name, root, i, j = _between(own.values, a, b, own.values.field("bits").to_pylist(), similar)
+                name, root, i, j, room = _between(own.values, a, b, own.values.field("bits").to_pylist(), similar)
                 trees = Forest()
                 kept = [k for k, (x, y) in enumerate(zip(root[i].tolist(), root[j].tolist())) if trees.joins(x, y)]
-                yield from packed.pairs(name[i[kept]], name[j[kept]])
+                ends = [pa.array(x) for x in (name[i[kept]], name[j[kept]], room[kept])]
+                yield pa.RecordBatch.from_arrays(ends, names=["u", "v", "room"])
 
-    return _dealt(rows, "bits").select("a", "b", "own").mapInArrow(common.released(run), packed.MET).select("u", "v").distinct()
+    found = _dealt(rows, "bits").select("a", "b", "own").mapInArrow(common.released(run), "u long, v long, room long")
+    each = found.unionAll(found.select("v", "u", "room")).groupBy("u").agg(F.max_by("v", F.struct("room", "v")).alias("v"))
+    return each.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _undecided(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -295,7 +298,7 @@ def _undecided(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, own, hub in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                name, _, i, j = _between(own.values, a, b, own.values.field("bits").to_pylist(), similar)
+                name, _, i, j, _ = _between(own.values, a, b, own.values.field("bits").to_pylist(), similar)
                 left = name[np.unique(np.concatenate([i, j]))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), hub, np.int64)), pa.array(left)], names=["hub", "set"])
 
@@ -311,7 +314,7 @@ def _linked(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
         for batch in batches:
             for a, b, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 whole = [np.frombuffer(x, np.int64) for x in own.values.field("own").to_pylist()]
-                name, root, i, j = _between(own.values, a, b, [bitmap(x) for x in whole], similar)
+                name, root, i, j, _ = _between(own.values, a, b, [bitmap(x) for x in whole], similar)
                 trees, u, v = Forest(), [], []
                 for x, y in zip(i.tolist(), j.tolist()):
                     r, s = int(root[x]), int(root[y])
@@ -340,7 +343,8 @@ def groups(found: DataFrame, marked: DataFrame, words: int = WORDS, similar: tup
     linked = simhash.links(prints.select("fp"))
     linked = linked.join(prints.select(F.col("fp").alias("u"), F.col("least").alias("x")), "u")
     linked = linked.join(prints.select(F.col("fp").alias("v"), F.col("least").alias("y")), "v").select("x", "y")
-    linked = linked.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    # one link of each is enough here: what they leave out is found below
+    linked = linked.where("x <> y").groupBy(F.greatest("x", "y").alias("v")).agg(F.min(F.least("x", "y")).alias("u"))
     edges = _similar(same.unionByName(linked).distinct(), found, marked, words, similar)
     # by first shingles
     info = found.where("bits is not null").select("set", "n", "bits").dropDuplicates(["set"])
