@@ -10,6 +10,8 @@ from zephyrine.llm.common import cut
 #: Rounds after which components() gives up; the number that is needed grows with the logarithm
 #: of the longest path, so this is out of reach.
 MOST_ROUNDS = 64
+#: Edges that a task handles; a graph of fewer needs one task a step, however many partitions shuffles have.
+EDGES = 100_000
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -20,25 +22,26 @@ def _checksum(edges: DataFrame) -> tuple:
     return (row["n"], row["h"])
 
 
-def _least(edges: DataFrame, at) -> DataFrame:
+def _least(edges: DataFrame, at, tasks: int) -> DataFrame:
     """``u, m``: ``at`` for each node ``u``, written out, so that the join that follows has two plain
     exchanges and adaptive execution can split the one of a node with very many edges."""
-    return cut(edges.groupBy("u").agg(at.alias("m")))
+    return cut(edges.groupBy("u").agg(at.alias("m")).coalesce(tasks))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Every larger neighbour of a node is joined to the node's smallest neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both, F.least(F.min("v"), F.col("u")))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = _least(both, F.least(F.min("v"), F.col("u")), tasks)
+    moved = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return cut(moved.coalesce(tasks).distinct().coalesce(tasks))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """With edges from larger to smaller: a node and its smaller neighbours all join the smallest."""
     down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down, F.min("v"))
+    least = _least(down, F.min("v"), tasks)
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -52,10 +55,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = cut(edges.select("u", "v").where("u <> v").distinct())
     seen = _checksum(now)
+    tasks = max(1, -(-seen[0] // EDGES))
+    now = now.coalesce(tasks)
     for _ in range(MOST_ROUNDS):
         if not seen[0]:
             break
-        now = cut(_small_star(_large_star(now)))
+        now = _small_star(_large_star(now, tasks), tasks)
         said = _checksum(now)
         if said == seen:
             break
