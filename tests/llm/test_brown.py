@@ -202,6 +202,44 @@ def test_clusters_of_all_units(spark):
     assert said == sorted(said) and said[-1] > said[0]
 
 
+def test_words_below_the_share(spark, sf, monkeypatch):
+    """Words that the share leaves out are classed by their own bigrams, all that occur LEAST times or more; the
+    likelihood rises by it, and the score is that of a class bigram model written out over these classes."""
+    monkeypatch.setattr(brown, "SHARE", 500)
+    monkeypatch.setattr(brown, "OCCURRENCES", 10_000)
+    monkeypatch.setattr(brown, "SEQUENCE", 5000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(3)
+    held = [(r.doc_id, r.text) for r in docs.collect()]
+    lines = [[None, *words(t)] for i, t in held if not held_out(i)]
+    seen = Counter(w for line in lines for w in line[1:])
+    m = brown.fit(spark.createDataFrame([(t,) for i, t in held if not held_out(i)], "text string").repartition(3), head=50)[0]
+    below = {w for w, c in seen.items() if w and c >= brown.LEAST and w.encode() not in m.units}
+    assert len(below) > 500 and m.placed.keys.tolist() == sorted(brown.key(w.encode()) for w in below)
+    by_unit = lambda w: 0 if w is None else int(m.unit_class[unit(m, w.encode())])
+    own = dict(zip(m.placed.keys.tolist(), m.placed.classes.tolist()))
+    by_word = lambda w: own[brown.key(w.encode())] if w in below else by_unit(w)
+    assert any(by_word(w) != by_unit(w) for w in below) and min(own.values()) > 0
+
+    def pairs(of):
+        grid = np.zeros((brown.CLASSES, brown.CLASSES))
+        for line in lines:
+            np.add.at(grid, ([of(w) for w in line[:-1]], [of(w) for w in line[1:]]), 1)
+        return grid
+
+    grid = pairs(by_word)
+    assert brown.likelihood(grid) > brown.likelihood(pairs(by_unit))
+    k, total, types = brown.CLASSES, np.zeros(brown.CLASSES), np.zeros(brown.CLASSES)
+    for w, c in seen.items():
+        total[by_word(w)] += c
+        types[by_word(w)] += 1
+    share = (total + 0.5) / (total + 0.5).sum()
+    move = np.log10((grid + k * share) / (grid.sum(axis=1, keepdims=True) + k))
+    for r in brown.lm_scores(docs, head=50).collect():
+        line = [None, *words(dict(held)[r.doc_id])]
+        said = sum(move[by_word(a), by_word(b)] + math.log10((seen[b] + 0.5) / (total[by_word(b)] + 0.5 * (types[by_word(b)] + 1))) for a, b in zip(line, line[1:]))
+        assert np.isclose(r.score, said)
+
+
 def test_empty(empty, docs):
     assert brown.lm_scores(empty).count() == 0
     one = docs.where("doc_id = 7")

@@ -12,6 +12,10 @@ and after each unit, and the driver moves one unit after another by these counts
 "Distributed word clustering", 2008). A round counts only if the likelihood over all bigrams, counted anew,
 has risen, so it never falls.
 
+Units are bounded so that the driver can move them one by one. The other words that occur LEAST times or more,
+whatever their number, are then exchanged in the cluster: each one's class bigrams meet in one part, which moves
+it from its ending's class to where the likelihood is highest. This too counts only if the likelihood has risen.
+
 Counts are kept for every word. Frequent ones are broadcast up to a fixed number; the rest of a document's
 words meet their counts in a join, where each contributes a term that only depends on its count.
 """
@@ -40,8 +44,8 @@ SHARE, LEAST = 40_000, 5
 #: Units that are exchanged over their own bigrams first.
 CORE = 1024
 CLASSES, ROUNDS = 40, 10
-#: Rounds over all units.
-ALL_ROUNDS = 3
+#: Rounds over all units, and over all words that are none.
+ALL_ROUNDS, WORD_ROUNDS = 3, 1
 #: Tokens in a stored sequence, about.
 SEQUENCE = 1 << 20
 #: Distinct words that a task counts before it passes them on, and that a worker remembers.
@@ -102,7 +106,7 @@ def frequent(counts: DataFrame, most: int, sure: int) -> tuple[list[tuple[bytes,
 
 
 def bound(tokens_: int) -> int:
-    """The count from which on a word is a unit."""
+    """The count from which on a word is a unit; rarer ones of LEAST or more are exchanged by :func:`placed`."""
     return max(LEAST, -(-tokens_ // SHARE))
 
 
@@ -144,6 +148,49 @@ class Units:
         return u
 
 
+#: Bits of the hash by which a word that is no unit is known; words that agree in it share a class.
+KEY = (1 << 48) - 1
+
+
+def key(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) & KEY
+
+
+@dataclass
+class Placed:
+    """Classes of words that are no units: their keys, in ascending order, and the class of each."""
+
+    keys: np.ndarray
+    classes: np.ndarray
+
+    @staticmethod
+    def none() -> Placed:
+        return Placed(np.zeros(0, np.int64), np.zeros(0, np.uint8))
+
+    def put(self, keys: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """``classes``, with that of each key that is placed in its stead."""
+        if not len(self.keys):
+            return classes
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.classes[at], classes)
+
+
+class Classes:
+    """Word -> class."""
+
+    def __init__(self, own: dict[bytes, int], of: np.ndarray, placed: Placed):
+        self.units, self.unit_class, self.placed = Units(own), of, placed
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if not words:
+            return np.zeros(0, int)
+        out = self.unit_class[self.units.of(words)]
+        own = self.units.own
+        rest = [i for i, w in enumerate(words) if w not in own] if len(self.placed.keys) else []
+        out[rest] = self.placed.put(np.array([key(words[i]) for i in rest], np.int64), out[rest])
+        return out
+
+
 _MADE: dict[str, object] = {}
 
 
@@ -157,34 +204,181 @@ def made(shared: Shared, kind):
 
 
 def sequences(texts: DataFrame, own: dict[bytes, int]) -> DataFrame:
-    """``ids``: the units of all of ``texts`` as 32-bit numbers, the end after each text, many texts a row."""
+    """``ids``: the units of all of ``texts`` as 32-bit numbers, the end after each text, many texts a row; and
+    ``rest``: the keys of those words that are no units, in 64 bits."""
     shared = Shared(texts.sparkSession, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = made(shared, Units)
+        base = len(known.own) + 2
+        # a word's number: its unit, or from ``base`` on the place of its ending's unit and its key
+        number, units_of, keys = dict(known.own), [], []
         line: list[int] = []
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def learn(word: bytes) -> int:
+            units_of.append(known.of([word])[0])
+            keys.append(key(word))
+            n = number[word] = base + len(keys) - 1
+            return n
+
+        def end() -> None:
+            x = np.array(line, np.int64)
+            at = np.flatnonzero(x >= base)
+            own = x[at] - base
+            x[at] = np.array(units_of, np.int64)[own]
+            done.append((x.astype(np.int32), np.array(keys, np.int64)[own]))
+            line.clear()
+
+        def row() -> pa.RecordBatch:
+            end()
+            both = [pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in zip(*done)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(both, names=["ids", "rest"])
+
         for (own_texts,) in common.chunks(batches, 0):
+            get = number.get
             for text in own_texts:
-                line += known.of(tokens(text))
+                line += [get(w) or learn(w) for w in tokens(text)]
                 line.append(0)
-            if len(line) >= SEQUENCE:
-                yield pa.RecordBatch.from_arrays([pa.array([np.array(line, np.int32).tobytes()], pa.binary())], names=["ids"])
-                line = []
-        yield pa.RecordBatch.from_arrays([pa.array([np.array(line, np.int32).tobytes()], pa.binary())], names=["ids"])
+            if len(keys) > HELD:
+                end()
+                number, units_of, keys = dict(known.own), [], []
+            if len(line) + sum(len(x) for x, _ in done) >= SEQUENCE:
+                yield row()
+        yield row()
+
+    return texts.select("text").mapInArrow(run, "ids binary, rest binary")
+
+
+def whole_words(own: dict[bytes, int]) -> np.ndarray:
+    """Of each unit, whether it is the end or a word of its own."""
+    out = np.zeros(len(own) + 2, bool)
+    out[0] = True
+    out[[u for w, u in own.items() if w[:1] != b" "]] = True
+    return out
+
 
-    return texts.select("text").mapInArrow(run, "ids binary")
+def _classed(ids: np.ndarray, rest: np.ndarray, of: np.ndarray, whole: np.ndarray, placed: Placed) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each word of a sequence, and the places of the words that are no units."""
+    at = np.flatnonzero(~whole[ids])
+    classes = of[ids]
+    classes[at] = placed.put(rest, classes[at])
+    return classes, at
+
+
+#: A word (its key, less what its part says) and what of it: the classes before and after, its own, whether it follows itself.
+BESIDE = np.dtype([("low", "<u4"), ("high", "<u2"), ("code", "<u4")])
+#: Occurrences of words that a task moves, about.
+OCCURRENCES = 1_000_000
+#: How often the words that move in a round may be halved.
+HALVED = 5
+
+
+def placed(rows: DataFrame, own: dict[bytes, int], of: np.ndarray, grid: np.ndarray, rounds: int = WORD_ROUNDS) -> tuple[Placed, np.ndarray]:
+    """Classes of all words that are no units and occur LEAST times or more in ``rows`` of sequences, and how often
+    each class follows each by them.
+
+    A part holds a share of all such words by their hash and moves one after another, the most frequent first. On its own
+    copy of the grid a move counts once for every part, as the others' words move alike meanwhile. Where all moves
+    together do not raise the likelihood, half of them are taken, and so on; else the round is left out.
+    """
+    spark = rows.sparkSession
+    common.ship(spark)
+    whole = whole_words(own)
+    many = rows.agg(F.sum(F.length("rest"))).first()[0] or 0
+    parts = max(1, -(-many // 8 // OCCURRENCES))
+    now = Placed.none()
+    for _ in range(rounds if many else 0):
+        shared = Shared(spark, (of, whole, now, grid.astype(float)))
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, whole, now, _ = shared.value
+            for batch in batches:
+                for x, y in zip(batch.column(0), batch.column(1)):
+                    ids, rest = np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(y.as_buffer(), np.int64)
+                    if not len(rest):
+                        continue
+                    k, at = _classed(ids, rest, of, whole, now)
+                    # a sequence ends with a text's end, so every word has one after it
+                    before = np.where(at > 0, k[at - 1], 0)
+                    itself = np.append(False, (rest[1:] == rest[:-1]) & (at[1:] == at[:-1] + 1))
+                    out = np.empty(len(rest), BESIDE)
+                    part, rest = rest % parts, rest // parts
+                    out["low"], out["high"] = rest & 0xFFFFFFFF, rest >> 32
+                    out["code"] = before | k[at + 1] << 8 | k[at] << 16 | itself.astype(int) << 24
+                    order = np.argsort(part, kind="stable")
+                    out, part = out[order], part[order]
+                    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                    data = [x.tobytes() for x in np.split(out, starts[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(data, pa.binary())], names=["part", "data"])
+
+        def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grid = shared.value[3].copy()
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for batch in batches:
+                for part, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    own = np.frombuffer(x.as_buffer(), BESIDE)
+                    held.append(((own["high"].astype(np.int64) << 32 | own["low"]) * parts + part, own["code"].astype(np.int64)))
+            if not held:
+                return
+            keys, code = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(keys, kind="stable")
+            keys, code = keys[order], code[order]
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            ends = np.append(starts[1:], len(keys))
+            use = np.flatnonzero(ends - starts >= LEAST)
+            use = use[np.argsort(starts[use] - ends[use], kind="stable")]
+            n, said = len(grid), []
+            for a, b in zip(starts[use].tolist(), ends[use].tolist()):
+                c = code[a:b]
+                l, r = (np.bincount(c >> s & 255, minlength=n) for s in (0, 8))
+                then, k = grid.copy(), int(c[0] >> 16 & 255)
+                said.append(move(then, k, r, l, float((c >> 24).sum())))
+                if said[-1] != k:
+                    grid = np.maximum(grid + parts * (then - grid), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[starts[use]]), pa.array(said, pa.int32())], names=["key", "k"])
+
+        dealt = rows.select("ids", "rest").mapInArrow(common.released(deal), "part int, data binary").repartitionById(parts, "part")
+        got = dealt.mapInArrow(common.released(moved), "key long, k int").toArrow()
+        order = np.argsort(got.column("key").to_numpy(), kind="stable")
+        keys, said = got.column("key").to_numpy()[order], got.column("k").to_numpy()[order].astype(np.uint8)
+
+        def count(left, right):
+            return np.bincount(left * CLASSES + right, minlength=CLASSES * CLASSES)
+
+        for halved in range(HALVED):
+            # words that do not move now stay where a round before has put them
+            use = keys % (1 << halved) == 0
+            old = ~np.isin(now.keys, keys[use])
+            both = np.concatenate([keys[use], now.keys[old]]), np.concatenate([said[use], now.classes[old]])
+            order = np.argsort(both[0], kind="stable")
+            then = Placed(both[0][order], both[1][order])
+            by = Shared(spark, (of, whole, then))
+            counted = _summed(rows.select("ids", "rest"), count, CLASSES * CLASSES, lambda ids, rest: _classed(ids, rest, *by.value)[0])
+            counted = counted.reshape(CLASSES, CLASSES)
+            if likelihood(counted) > likelihood(grid):
+                now, grid = then, counted
+                break
+        else:
+            break
+    return now, grid
 
 
-def _summed(rows: DataFrame, count, size: int) -> np.ndarray:
-    """The sum of ``count(left, right)``, an array of ``size`` numbers, over the bigrams of all sequences.
-    What is not zero is added up in the cluster."""
+def _summed(rows: DataFrame, count, size: int, of=None) -> np.ndarray:
+    """The sum of ``count(left, right)``, an array of ``size`` numbers, over the bigrams of all sequences, or of
+    what ``of`` makes of a row's columns. What is not zero is added up in the cluster."""
     common.ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                row = np.concatenate([np.zeros(1, np.int32), np.frombuffer(x.as_buffer(), np.int32)])
+            for i, x in enumerate(batch.column(0)):
+                own = np.frombuffer(x.as_buffer(), np.int32)
+                if of is not None:
+                    own = of(own, np.frombuffer(batch.column(1)[i].as_buffer(), np.int64))
+                row = np.concatenate([np.zeros(1, own.dtype), own])
                 held += count(row[:-1], row[1:])
         at = np.flatnonzero(held)
         for lo in range(0, len(at), 1 << 18):
@@ -250,7 +444,10 @@ def move(grid: np.ndarray, k: int, r: np.ndarray, l: np.ndarray, itself: float)
     l[k] -= itself
     # sums of the grid as they are wherever the unit goes, but for its own class
     rows, cols = grid.sum(axis=1) + l, grid.sum(axis=0) + r
-    gain = (_xlogx(grid + r) - _xlogx(grid)).sum(axis=1) + (_xlogx(grid.T + l) - _xlogx(grid.T)).sum(axis=1)
+    # a rare word has few classes beside it, and others add nothing
+    a, b = np.flatnonzero(r), np.flatnonzero(l)
+    after, before = grid[:, a], grid.T[:, b]
+    gain = (_xlogx(after + r[a]) - _xlogx(after)).sum(axis=1) + (_xlogx(before + l[b]) - _xlogx(before)).sum(axis=1)
     d = np.diagonal(grid)
     gain += _xlogx(d + r + l + itself) + _xlogx(d) - _xlogx(d + r) - _xlogx(d + l)
     gain -= _xlogx(rows + r.sum() + itself) - _xlogx(rows)
@@ -334,11 +531,12 @@ class Model:
     base: float
     train_tokens: int
     end_log: float
+    placed: Placed
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.m, self.units = model, Units(model.units)
+        self.m, self.classes = model, Classes(model.units, model.unit_class, model.placed)
 
     def one(self, text: str) -> tuple[int, int, float, float, Counter]:
         """Tokens, known ones and the two scores, as far as the broadcast counts go; and other words."""
@@ -354,7 +552,7 @@ class Scorer:
         other: Counter = Counter()
         if rest:
             few = [words[i] for i in rest]
-            inner[rest] = m.unit_class[self.units.of(few)]
+            inner[rest] = self.classes.of(few)
             other.update(few)
         logs = float(m.head_log[at[at >= 0]].sum()) + m.end_log
         n = len(words) + 1
@@ -370,19 +568,20 @@ def fit(train: DataFrame, head: int = HEAD) -> tuple[Model, DataFrame]:
     ends = train.count()
     n, v = (said["n"] or 0) + ends, said["v"] + (ends > 0)
     own = units(counts, int(n))
-    of, grid = clustered(common.cut(sequences(train, own)), len(own) + 2)
+    rows = common.cut(sequences(train, own))
+    of, grid = clustered(rows.select("ids"), len(own) + 2)
+    words_of, grid = placed(rows, own, of, grid)
     # words with an ending that was never seen are like those with the most frequent short one
     of[-1] = of[min((u for w, u in own.items() if w[:2] == b"  "), default=1)] if own else 1
     top, least = frequent(counts, head, bound(int(n)))
-    class_of = Shared(train.sparkSession, (own, of))
+    class_of = Shared(train.sparkSession, (own, of, words_of))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, of = class_of.value
-        known = Units(own)
+        known = Classes(*class_of.value)
         total, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for batch in batches:
             words = batch.column(0).cast(pa.binary()).to_pylist()
-            k = of[known.of(words)] if words else np.zeros(0, int)
+            k = known.of(words)
             total += np.bincount(k, batch.column(1).to_numpy(), CLASSES).astype(np.int64)
             types += np.bincount(k, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(total), pa.array(types)], names=["k", "n", "v"])
@@ -398,8 +597,8 @@ def fit(train: DataFrame, head: int = HEAD) -> tuple[Model, DataFrame]:
     c = np.array([x for _, x in top], float)
     words = {w: i for i, (w, _) in enumerate(top)}
     model = Model(
-        own, words, of[Units(own).of(list(words))] if words else np.zeros(0, int), np.log10(c + DELTA), of, transition, emission,
-        float(np.log10(n + DELTA * (v + 1))), int(n), float(np.log10(ends + DELTA)),
+        own, words, Classes(own, of, words_of).of(list(words)), np.log10(c + DELTA), of, transition, emission,
+        float(np.log10(n + DELTA * (v + 1))), int(n), float(np.log10(ends + DELTA)), words_of,
     )
     return model, counts.where(F.col("c") < least)
 
