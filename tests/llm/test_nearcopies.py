@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
@@ -105,3 +107,41 @@ def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "BLOCK", 2)
     monkeypatch.setattr(nearcopies.simhash, "links", lambda prints: prints.select(prints.fp.alias("u"), prints.fp.alias("v")).limit(0))
     assert sorted(r.doc_id for r in nearcopies.one_of_each(df).collect()) == want
+
+
+def test_large_component_is_not_multiplied(spark, monkeypatch):
+    """In a group that is nearly one component all pairs of different components meet once, and rows are hardly multiplied."""
+    monkeypatch.setattr(nearcopies, "BLOCK", 4)
+    root = {s: 0 if s < 60 else s for s in range(64)}
+    rows = spark.createDataFrame([(0, s, r, 9, 8) for s, r in root.items()], "hub long, set long, root long, n long, bytes long")
+    has = spark.createDataFrame([(s, b"12345678") for s in root], "set long, bits binary")
+    got = nearcopies._dealt(rows, has, "bits").collect()
+    met = Counter()
+    for r in got:
+        for x, y in combinations(r.own, 2):
+            if x.root != y.root and (r.a == r.b or x.mine != y.mine):
+                met[min(x.set, y.set), max(x.set, y.set)] += 1
+    assert met == Counter((x, y) for x, y in combinations(range(64), 2) if root[x] != root[y])
+    assert sum(len(r.own) for r in got) < 200
+
+
+def test_scattered_is_linear(spark, monkeypatch):
+    """The first links of a large group take each set twice, whatever the group's size."""
+    monkeypatch.setattr(nearcopies, "BLOCK", 4)
+    rows = spark.createDataFrame([(h, s, s, 9, 8) for h in (0, 1) for s in range(64)] + [(2, s, s, 9, 8) for s in (1, 2)], "hub long, set long, root long, n long, bytes long")
+    has = spark.createDataFrame([(s, b"12345678") for s in range(64)], "set long, bits binary")
+    met = Counter(x.set for r in nearcopies._scattered(rows, has).collect() for x in r.own)
+    assert met == Counter({s: 3 if s in (1, 2) else 2 for s in range(64)})
+
+
+def test_pairs_of_two_sides():
+    """With sides, the pairs are those of all that have an end on either side."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(1 << 63), 1 << 63, 300)
+    own = [np.unique(rng.choice(base, int(rng.integers(20, 300)))) for _ in range(40)]
+    n, bits = np.array([len(x) for x in own]), [nearcopies.bitmap(x) for x in own]
+    side = rng.random(40) < 0.3
+    both = lambda i, j, room: {(min(x, y), max(x, y), z) for x, y, z in zip(i.tolist(), j.tolist(), room.tolist())}
+    every = both(*nearcopies.near_pairs(n, bits, (1, 5)))
+    want = {(x, y, z) for x, y, z in every if side[x] != side[y]}
+    assert both(*nearcopies.near_pairs(n, bits, (1, 5), side)) == want and 0 < len(want) < len(every)

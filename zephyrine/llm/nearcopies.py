@@ -56,12 +56,16 @@ def bitmap(own: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def near_pairs(n: np.ndarray, bits: list[bytes], similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs(
+    n: np.ndarray, bits: list[bytes], similar: tuple[int, int], side: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of pairs of sets (by their sizes and bitmaps) that may be similar, and how far below what is allowed
-    their differing bits are; all others are not similar. A wider bitmap is folded to the narrower one's width."""
+    their differing bits are; all others are not similar. A wider bitmap is folded to the narrower one's width.
+    With ``side`` (true or false for each set), only pairs of one and the other side."""
     p, q = similar
     order = np.argsort(n, kind="stable")
     n = n[order]
+    side = None if side is None else side[order]
     maps: dict[int, np.ndarray] = {}
     widths = np.array([len(bits[i]) for i in order]) // 8
     out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))]
@@ -77,15 +81,21 @@ def near_pairs(n: np.ndarray, bits: list[bytes], similar: tuple[int, int]) -> tu
             while len(x) > width:
                 x = x[: len(x) // 2] | x[len(x) // 2 :]
             rows[k - lo] = x
+        # what each row is compared with, in ascending order
+        use = [np.arange(lo, top)] if side is None else [np.flatnonzero(side[lo:top] != x) + lo for x in (False, True)]
+        maps = [rows] if side is None else [rows[x - lo] for x in use]
         for k in range(lo, hi):
+            which = 0 if side is None else int(side[k])
             end = int(np.searchsorted(n, n[k] * q // p, side="right"))
-            if end <= k + 1:
+            first, last = np.searchsorted(use[which], (k + 1, end)).tolist()
+            if first >= last:
                 continue
-            both = n[k] + n[k + 1 : end]
+            later = use[which][first:last]
+            both = n[k] + n[later]
             allowed = both - 2 * -(-p * both // (p + q))
-            differ = np.bitwise_count(rows[k + 1 - lo : end - lo] ^ rows[k - lo]).sum(axis=1, dtype=np.int64)
+            differ = np.bitwise_count(maps[which][first:last] ^ rows[k - lo]).sum(axis=1, dtype=np.int64)
             near = np.flatnonzero(differ <= allowed)
-            out.append((np.full(len(near), k), near + k + 1, (allowed - differ)[near]))
+            out.append((np.full(len(near), k), later[near], (allowed - differ)[near]))
     i, j, room = (np.concatenate(x) for x in zip(*out))
     return order[i], order[j], room
 
@@ -246,35 +256,62 @@ class Forest:
         return x != y
 
 
-def _dealt(rows: DataFrame, size: str) -> DataFrame:
-    """``a, b, own``: the rows of each group (``hub``), in blocks of so many rows or bytes of a column: two blocks, or
-    one and the same, and the structs ``set, root, n, <size>, mine`` of their rows."""
-    sizes = rows.groupBy("hub").agg(F.count("*").alias("sets"), F.sum(F.length(size)).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    large = _narrow(sizes.select("hub", blocks.alias("blocks")).where("blocks > 1"))
-    rows = rows.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+def _blocks(sets, size):
+    return F.greatest(F.ceil(sets / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def _dealt(rows: DataFrame, has: DataFrame, size: str) -> DataFrame:
+    """``a, b, own, hub``: the rows of each group (``hub, set, root, n, bytes``), in blocks of so many rows or bytes of
+    column ``size`` of ``has`` (by ``set``): two blocks, or one and the same, and the structs ``set, root, n, <size>, mine``
+    of their rows.
+
+    Rows of one component need not meet. So the blocks of a group's largest component (by bytes) meet those of
+    all others, not one another, and a group that is nearly one component is not multiplied."""
+    each = rows.groupBy("hub", "root").agg(F.count("*").alias("sets"), F.sum("bytes").alias("bytes"))
+    sums = each.groupBy("hub").agg(F.sum("sets").alias("sets"), F.sum("bytes").alias("bytes"), F.max(F.struct("bytes", "root", "sets")).alias("main"))
+    few, many = _blocks(F.col("sets") - F.col("main.sets"), F.col("bytes") - F.col("main.bytes")), _blocks(F.col("main.sets"), F.col("main.bytes"))
+    large = sums.where(_blocks(F.col("sets"), F.col("bytes")) > 1).select("hub", F.col("main.root").alias("main"), few.alias("few"), many.alias("many"))
+    rows = rows.join(_narrow(large), "hub", "left").withColumn("most", F.coalesce(F.col("root") == F.col("main"), F.lit(False)))
+    few, many = F.coalesce("few", F.lit(1)), F.coalesce("many", F.lit(0))
+    number = F.xxhash64("set")
+    rows = rows.withColumn("mine", F.when(F.col("most"), few + F.pmod(number, F.greatest(many, F.lit(1)))).otherwise(F.pmod(number, few)).cast("int"))
+    others = F.sequence(F.lit(0), F.when(F.col("most"), few).otherwise(few + many) - 1).alias("other")
     one = F.struct("set", "root", "n", size, "mine")
+    rows = rows.select("hub", "set", "root", "n", "mine", others).join(has.select("set", size), "set")
+    rows = rows.withColumn("other", F.explode("other"))
     out = rows.groupBy("hub", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")).agg(F.collect_list(one).alias("own"))
     return out.select("a", "b", "own", "hub")
 
 
+def _scattered(rows: DataFrame, has: DataFrame) -> DataFrame:
+    """``a, b, own`` as of :func:`_dealt`, but not all pairs of a group meet: a set is in one large group only, and there
+    in two blocks, by two hashes."""
+    sizes = rows.groupBy("hub").agg(_blocks(F.count("*"), F.sum("bytes")).alias("blocks"))
+    large = _narrow(sizes.where("blocks > 1"))
+    first = rows.join(large, "hub").groupBy("set").agg(F.min("hub").alias("one"))
+    rows = rows.join(large, "hub", "left").join(first, "set", "left").where("blocks IS NULL OR hub = one")
+    times = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))).alias("times")
+    rows = rows.select("hub", "set", "root", "n", F.coalesce("blocks", F.lit(1)).alias("blocks"), times)
+    rows = rows.join(has.select("set", "bits"), "set").withColumn("time", F.explode("times"))
+    rows = rows.withColumn("mine", (F.col("time") * F.col("blocks") + F.pmod(F.xxhash64("set", "time"), F.col("blocks"))).cast("int"))
+    out = rows.groupBy("hub", F.col("mine").alias("a")).agg(F.collect_list(F.struct("set", "root", "n", "bits", "mine")).alias("own"))
+    return out.select("a", F.col("a").alias("b"), "own")
+
+
 def _between(own: pa.StructArray, a: int, b: int, bits: list[bytes], similar: tuple[int, int]):
     """Names and roots of a block's sets, and the places of those pairs of different roots (and of both blocks) that
     may be similar, the closest first, with how close they are."""
     name, root, mine, n = (own.field(k).to_numpy(zero_copy_only=False) for k in ("set", "root", "mine", "n"))
-    i, j, room = near_pairs(n, bits, similar)
+    i, j, room = near_pairs(n, bits, similar, mine == a if a != b else None)
     use = root[i] != root[j]
-    if a != b:
-        use &= mine[i] != mine[j]
     i, j, room = i[use], j[use], room[use]
     order = np.argsort(-room, kind="stable")
     return name, root, i[order], j[order], room[order]
 
 
-def _closest(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs ``u, v`` of sets in a group (``hub, set, root, n, bits``) that may be similar: of a forest of the closest,
-    those of which one is the other's closest in all groups."""
+def _closest(rows: DataFrame, info: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Pairs ``u, v`` of sets in a group (``hub, set, root, n, bytes``; ``info``: their ``bits``) that may be similar: of a forest of the closest
+    in each block of :func:`_scattered`, those of which one is the other's closest in all."""
     common.ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,15 +320,17 @@ def _closest(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
                 name, root, i, j, room = _between(own.values, a, b, own.values.field("bits").to_pylist(), similar)
                 trees = Forest()
                 kept = [k for k, (x, y) in enumerate(zip(root[i].tolist(), root[j].tolist())) if trees.joins(x, y)]
-                ends = [pa.array(x) for x in (name[i[kept]], name[j[kept]], room[kept])]
+                # a link for either end
+                u, v = name[i[kept]], name[j[kept]]
+                ends = [pa.array(np.concatenate(x)) for x in ((u, v), (v, u), (room[kept], room[kept]))]
                 yield pa.RecordBatch.from_arrays(ends, names=["u", "v", "room"])
 
-    found = _dealt(rows, "bits").select("a", "b", "own").mapInArrow(common.released(run), "u long, v long, room long")
-    each = found.unionAll(found.select("v", "u", "room")).groupBy("u").agg(F.max_by("v", F.struct("room", "v")).alias("v"))
+    found = _scattered(rows, info).mapInArrow(common.released(run), "u long, v long, room long")
+    each = found.groupBy("u").agg(F.max_by("v", F.struct("room", "v")).alias("v"))
     return each.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _undecided(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
+def _undecided(rows: DataFrame, info: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """``hub, set`` of the sets in a group that may be similar to one of another component."""
     common.ship(rows.sparkSession)
 
@@ -302,11 +341,11 @@ def _undecided(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
                 left = name[np.unique(np.concatenate([i, j]))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), hub, np.int64)), pa.array(left)], names=["hub", "set"])
 
-    return _dealt(rows, "bits").mapInArrow(common.released(run), "hub long, set long").distinct()
+    return _dealt(rows, info, "bits").mapInArrow(common.released(run), "hub long, set long").distinct()
 
 
-def _linked(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """``u, v``: links of similar sets in a group (``hub, set, root, n, own`` with whole sets) that connect what all
+def _linked(rows: DataFrame, whole: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """``u, v``: links of similar sets in a group (``hub, set, root, n``; ``whole``: ``own`` of each) that connect what all
     such links would."""
     common.ship(rows.sparkSession)
 
@@ -324,7 +363,7 @@ def _linked(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
                         v.append(name[y])
                 yield from packed.pairs(np.array(u, np.int64), np.array(v, np.int64))
 
-    return common.cut(_dealt(rows, "own").select("a", "b", "own").mapInArrow(common.released(run), packed.MET).select("u", "v").distinct())
+    return common.cut(_dealt(rows.withColumn("bytes", F.col("n") * 8), whole, "own").select("a", "b", "own").mapInArrow(common.released(run), packed.MET).select("u", "v").distinct())
 
 
 def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -347,16 +386,19 @@ def groups(found: DataFrame, marked: DataFrame, words: int = WORDS, similar: tup
     linked = linked.where("x <> y").groupBy(F.greatest("x", "y").alias("v")).agg(F.min(F.least("x", "y")).alias("u"))
     edges = _similar(same.unionByName(linked).distinct(), found, marked, words, similar)
     # by first shingles
-    info = found.where("bits is not null").select("set", "n", "bits").dropDuplicates(["set"])
+    # bitmaps, which are long beside all else, join what is left when it is dealt
+    info = common.cut(found.where("bits is not null").select("set", "n", "bits").dropDuplicates(["set"]))
     met = hubs(found, similar)
     every = met.unionByName(met.select("hub", F.col("hub").alias("set")).distinct())
-    members = common.cut(every.join(info, "set"))
-    edges = edges.unionByName(_similar(_closest(_rooted(members, edges), similar), found, marked, words, similar))
+    members = common.cut(every.join(info.select("set", "n", F.length("bits").cast("long").alias("bytes")), "set"))
+    edges = edges.unionByName(_similar(_closest(_rooted(members, edges), info, similar), found, marked, words, similar))
+    common.tidy(marked.sparkSession)
     rows = _rooted(members, edges)
-    left = common.cut(_undecided(rows, similar))
+    left = common.cut(_undecided(rows, info, similar))
+    common.tidy(marked.sparkSession)
     whole = _wholes_of(left.select("set").distinct(), found, marked, words)
-    rows = rows.select("hub", "set", "root", "n").join(left, ["hub", "set"]).join(whole, "set")
-    return components(edges.unionByName(_linked(rows, similar))).withColumnRenamed("node", "set")
+    rows = rows.select("hub", "set", "root", "n").join(left, ["hub", "set"])
+    return components(edges.unionByName(_linked(rows, whole, similar))).withColumnRenamed("node", "set")
 
 
 def one_of_each(
